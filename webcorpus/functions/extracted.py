@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webcorpus.functions import forms, markup, urls
+from webcorpus.functions import patterns as P
+from webcorpus.functions.text_sql import let, quoted
 
 
 def _resolved_sql(tags: str, name: str, base: str) -> str:
@@ -20,7 +22,7 @@ def _resolved_sql(tags: str, name: str, base: str) -> str:
 def tags_with_href(html: str) -> Column:
     """Array of ``struct<tag, href>`` of all link tags that have an ``href``."""
     found = f"""transform({markup.link_tags_sql(html)}, tag -> struct(
-        lower(regexp_extract(tag, '^<([a-zA-Z]+)', 1)) AS tag, {markup.attribute_sql('tag', 'href')} AS href))"""
+        lower(regexp_extract(tag, {quoted(P.TAG_NAME)}, 1)) AS tag, {markup.attribute_sql('tag', 'href')} AS href))"""
     return F.expr(f"filter({found}, found -> found.href IS NOT NULL)")
 
 
@@ -49,7 +51,6 @@ def raw_forms(html: str) -> Column:
     return forms.assemble_forms(markup.form_parts(html))
 
 
-def form_action(action: str, base: str) -> Column:
+def form_action_sql(action: str, base: str) -> str:
     """Resolved action; the page itself where that cannot be parsed."""
-    resolved = urls.resolve(action, base)
-    return F.when(resolved == "", F.col(base)["url"]).otherwise(resolved)
+    return let(urls.resolve_sql(action, base), "r", f"IF(r = '', {base}.url, r)")

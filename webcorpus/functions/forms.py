@@ -9,15 +9,19 @@ never reach Python.
 from __future__ import annotations
 
 import re
-from html import unescape
-from html.entities import html5
+import sys
+from html import entities, unescape
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webcorpus.functions import patterns as P
+from webcorpus.functions.text_sql import quoted
+
+# Ship this module's functions with the query, so that executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _FIELD_TYPE = T.StructType().add("name", T.StringType()).add("type", T.StringType())
 FORM_TYPE = (
@@ -38,7 +42,7 @@ _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*
 
 def _decode(match: re.Match) -> str:
     text = match.group()
-    return unescape(text) if text[1] == "#" else html5.get(text[1:], text)
+    return unescape(text) if text[1] == "#" else entities.html5.get(text[1:], text)
 
 
 def _attributes(tag: str, size: int) -> dict[str, str]:
@@ -90,18 +94,15 @@ def assemble_forms(parts: pd.Series) -> pd.Series:
     return parts.map(lambda page: None if page is None else forms_of(page))
 
 
-def has_csrf_field(inputs: Column) -> Column:
-    return F.exists(inputs, lambda field: field["name"].rlike(f"(?iu)(?:{P.CSRF_NAMES})"))
+def has_csrf_field_sql(inputs: str) -> str:
+    return f"exists({inputs}, field -> rlike(field.name, {quoted(P.CSRF_FIELD)}))"
 
 
-def form_issues(method: Column, inputs: Column, csrf_protected: Column) -> Column:
+def form_issues_sql(method: str, inputs: str, csrf_protected: str) -> str:
     """Issue texts of one form in fixed order; an empty array for a form without any."""
-    password = F.exists(inputs, lambda field: F.contains(F.lower(field["name"]), F.lit("pass")))
-    file_field = F.exists(inputs, lambda field: field["type"] == "file")
-    return F.array_compact(
-        F.array(
-            F.when((method == "GET") & password, F.lit(P.ISSUE_PASSWORD_GET)),
-            F.when((method == "POST") & ~csrf_protected, F.lit(P.ISSUE_NO_CSRF)),
-            F.when(file_field, F.lit(P.ISSUE_FILE)),
-        )
-    )
+    password = f"exists({inputs}, field -> contains(lower(field.name), 'pass'))"
+    file_field = f"exists({inputs}, field -> field.type = 'file')"
+    return f"""array_compact(array(
+        IF({method} = 'GET' AND {password}, {quoted(P.ISSUE_PASSWORD_GET)}, NULL),
+        IF({method} = 'POST' AND NOT {csrf_protected}, {quoted(P.ISSUE_NO_CSRF)}, NULL),
+        IF({file_field}, {quoted(P.ISSUE_FILE)}, NULL)))"""

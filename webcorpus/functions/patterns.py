@@ -101,6 +101,8 @@ EMAIL_LINEAR = (
 )
 COMMENT_LINEAR = "(?s)" + COMMENT
 
+CSRF_FIELD = f"(?iu)(?:{CSRF_NAMES})"
+
 # category -> (java pattern, group, literal that must be present, in lower case)
 ENDPOINTS_LINEAR = {
     "full_urls": (rf"""https?://[^{SPACE}'"<>)]++""", 0, "://"),
@@ -142,39 +144,35 @@ _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
 ATTRIBUTES = rf"""(?:[^>=/]++|/(?!>)|=++\s*+{_VALUE}|=(?!\s*+["'=]))*+"""
 _END_OF_NAME = r"(?=[\s/>])"
 _RAW_TEXT = r"style|title|textarea|xmp|iframe|noembed|noframes"
-_COMMENT_MARKUP = r"<!--(?:-?+>|.*?(?:--!?+>|\z))"
-_OTHER_MARKUP = rf"<[a-zA-Z]{ATTRIBUTES}/?+>|<[!?/][^>]*+>"
-_SCRIPT_OPEN = rf"<script{_END_OF_NAME}{ATTRIBUTES}>"
+_COMMENT_MARKUP = r"!--(?:-?+>|.*?(?:--!?+>|\z))"
+_OTHER_MARKUP = rf"[a-zA-Z]{ATTRIBUTES}/?+>|[!?/][^>]*+>"
+_SCRIPT_OPEN = rf"script{_END_OF_NAME}{ATTRIBUTES}>"
 _SCRIPT_CLOSE = rf"(?:</script{_END_OF_NAME}[^>]*+>?+|\z)"
+_RAW_ELEMENT = (
+    rf"({_RAW_TEXT}){_END_OF_NAME}{ATTRIBUTES}>.*?(?:</\2{_END_OF_NAME}[^>]*+>?+|\z)"
+)
 
-
-def _raw_text(group: int) -> str:
-    return (
-        rf"<({_RAW_TEXT}){_END_OF_NAME}{ATTRIBUTES}>.*?"
-        rf"(?:</\{group}{_END_OF_NAME}[^>]*+>?+|\z)"
-    )
-
-
-# One left-to-right pass over the page each; group 1 is the wanted piece and empty for the rest.
+# One left-to-right pass over the page each. Group 1 is the wanted piece, without its opening bracket, and
+# empty for everything else; the bracket stands first in the pattern so that plain text is skipped fast.
 LINK_TAGS = (
-    rf"(?is){_COMMENT_MARKUP}|{_SCRIPT_OPEN}.*?{_SCRIPT_CLOSE}"
-    rf"|(<(?:a|link|area){_END_OF_NAME}{ATTRIBUTES}/?+>)|{_raw_text(2)}|{_OTHER_MARKUP}"
+    rf"(?is)<(?:{_COMMENT_MARKUP}|{_SCRIPT_OPEN}.*?{_SCRIPT_CLOSE}"
+    rf"|((?:a|link|area){_END_OF_NAME}{ATTRIBUTES}/?+>)|{_RAW_ELEMENT}|{_OTHER_MARKUP})"
 )
 SCRIPT_ELEMENTS = (
-    rf"(?is){_COMMENT_MARKUP}|({_SCRIPT_OPEN}.*?(?=</script{_END_OF_NAME}|\z)"
-    rf"|<script{_END_OF_NAME}{ATTRIBUTES}/>)|{_raw_text(2)}|{_OTHER_MARKUP}"
+    rf"(?is)<(?:{_COMMENT_MARKUP}|({_SCRIPT_OPEN}.*?(?=</script{_END_OF_NAME}|\z)"
+    rf"|script{_END_OF_NAME}{ATTRIBUTES}/>)|{_RAW_ELEMENT}|{_OTHER_MARKUP})"
 )
-SCRIPT_OPEN_TAG = rf"(?is)\A<script{_END_OF_NAME}{ATTRIBUTES}/?+>"
+SCRIPT_OPEN_TAG = rf"(?is)\Ascript{_END_OF_NAME}{ATTRIBUTES}/?+>"
+TAG_NAME = r"\A([a-zA-Z]+)"
 
 # Tags that matter for which fields a form holds: whole for form and field tags, only the name for all
 # other opening and closing tags (they decide where an unclosed or mis-nested form ends).
 _FIELD_TAG = rf"(?:form|input|textarea|select){_END_OF_NAME}{ATTRIBUTES}/?+"
 _OTHER_NAME = rf"(?![a-zA-Z]{ATTRIBUTES}/>)/?+[a-zA-Z][^\s/>]*+"
 FORM_PARTS = (
-    rf"(?is){_COMMENT_MARKUP}|{_SCRIPT_OPEN}.*?{_SCRIPT_CLOSE}"
-    rf"|<(?=({_FIELD_TAG}(?=>)|{_OTHER_NAME}))"
-    rf"(?:(textarea|{_RAW_TEXT}){_END_OF_NAME}{ATTRIBUTES}>.*?(?:</\2{_END_OF_NAME}[^>]*+>?+|\z)"
-    rf"|[a-zA-Z/]{ATTRIBUTES}/?+>)|<[a-zA-Z]{ATTRIBUTES}/?+>|<[!?/][^>]*+>"
+    rf"(?is)<(?:{_COMMENT_MARKUP}|{_SCRIPT_OPEN}.*?{_SCRIPT_CLOSE}"
+    rf"|(?=({_FIELD_TAG}(?=>)|{_OTHER_NAME}))(?:{_RAW_ELEMENT}|[a-zA-Z/]{ATTRIBUTES}/?+>)"
+    rf"|{_OTHER_MARKUP})"
 )
 HAS_FORM = r"(?i)<form[\s/>]"
 

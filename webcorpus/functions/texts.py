@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webcorpus.functions import patterns as P
-from webcorpus.functions.text_sql import quoted
+from webcorpus.functions.text_sql import let, quoted
 from webcorpus.functions.urls import strip_space_sql
 
 
@@ -68,20 +68,22 @@ class Detector:
     needed: tuple[str, ...]  # literals of which one must be in the text, else the search is skipped
     min_entropy: float
     confidence: str
+    any_case: bool = False  # the literals are looked for in the lower-cased text
 
 
 # Own rules: quoted assignments to a telling name, key formats with a published prefix, PEM headers.
 DETECTORS = (
     Detector(
         "assignment",
-        r"""(?i)(?:api_?key|secret|token|passw(?:or)?d|access_?key)["']?\s*[:=]\s*["']([^\s"']{8,})["']""",
-        ("=", ":"),
+        r"""(?i)(?=[apst])(?:api_?key|secret|token|passw(?:or)?d|access_?key)["']?\s*[:=]\s*["']([^\s"']{8,})["']""",
+        ("key", "secret", "token", "passw"),
         3.0,
         "medium",
+        any_case=True,
     ),
     Detector("aws_access_key", r"\b(AKIA[0-9A-Z]{16})\b", ("AKIA",), 0.0, "high"),
     Detector("google_api_key", r"\b(AIza[0-9A-Za-z_\-]{35})", ("AIza",), 0.0, "high"),
-    Detector("github_token", r"\b(gh[pousr]_[0-9A-Za-z]{36})\b", ("gh",), 0.0, "high"),
+    Detector("github_token", r"\b(gh[pousr]_[0-9A-Za-z]{36})\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), 0.0, "high"),
     Detector("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", ("PRIVATE KEY",), 0.0, "high"),
 )
 
@@ -108,6 +110,7 @@ def secrets_sql(text: str, detectors: Iterable[Detector] = DETECTORS) -> str:
         hit = f"""struct({quoted(detector.kind)} AS type, {quoted(detector.confidence)} AS confidence,
             {preview_sql('h.s')} AS value_preview, round(h.entropy, 6) AS entropy)"""
         hits = f"transform(filter({rated}, h -> h.entropy >= {detector.min_entropy}D), h -> {hit})"
-        present = " OR ".join(f"contains({text}, {quoted(mark)})" for mark in detector.needed)
+        marks = lambda t, d=detector: " OR ".join(f"contains({t}, {quoted(mark)})" for mark in d.needed)
+        present = let(f"lower({text})", "low", marks("low")) if detector.any_case else marks(text)
         found.append(f"IF({present}, {hits}, NULL)")
     return f"flatten(array_compact(array({', '.join(found)})))"

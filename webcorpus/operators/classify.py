@@ -19,7 +19,7 @@ def param_flags(params: DataFrame) -> DataFrame:
 
 def form_flags(found_forms: DataFrame) -> DataFrame:
     """``action, found_on, form_pos, method, issues`` of the forms with at least one issue."""
-    issues = forms.form_issues(F.col("method"), F.col("inputs"), F.col("csrf_protected"))
+    issues = F.expr(forms.form_issues_sql("method", "inputs", "csrf_protected"))
     return found_forms.select("action", "found_on", "form_pos", "method", issues.alias("issues")).filter(
         F.size("issues") > 0
     )

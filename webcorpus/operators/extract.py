@@ -42,10 +42,13 @@ def resolved_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """The set of absolute links of each page: edges ``page_url -> url`` of the link graph."""
+def page_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The set of absolute links of each page: edges ``page_url -> url`` of the link graph.
+
+    ``keep`` names further page columns to carry along.
+    """
     return _with_base(pages).select(
-        F.col("url").alias("page_url"), F.explode(extracted.link_urls("html", "base")).alias("url")
+        F.col("url").alias("page_url"), *keep, F.explode(extracted.link_urls("html", "base")).alias("url")
     )
 
 
@@ -90,10 +93,10 @@ def forms(pages: DataFrame) -> DataFrame:
     return found.select(
         "found_on",
         "form_pos",
-        extracted.form_action("form.action", "base").alias("action"),
+        F.expr(extracted.form_action_sql("form.action", "base")).alias("action"),
         F.col("form.method").alias("method"),
         F.col("form.inputs").alias("inputs"),
-        form_functions.has_csrf_field(F.col("form.inputs")).alias("csrf_protected"),
+        F.expr(form_functions.has_csrf_field_sql("form.inputs")).alias("csrf_protected"),
     )
 
 

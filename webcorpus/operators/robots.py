@@ -43,7 +43,7 @@ def _rule_path(value: Column) -> Column:
 def _after_host(clean: Column) -> Column:
     query, fragment = urls.query(clean), urls.fragment(clean)
     return F.concat(
-        F.regexp_replace(urls.path(clean), r";\z", ""),
+        F.regexp_replace(urls.path(clean), r"(?s)((?:\A|/)[^/;]*+);\z", "$1"),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
