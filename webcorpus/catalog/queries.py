@@ -377,7 +377,7 @@ def _page_stream(spark, sf_dir):
 @query
 def stream_findings(spark, sf_dir):
     stored = ingest.run_available(ingest.stream_findings(_page_stream(spark, sf_dir)), "stream-findings")
-    return stored.select("section", "source", "page_key", "pos", "value")
+    return stored.select("section", "source", "page_key", "value")
 
 
 @query
