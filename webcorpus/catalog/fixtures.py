@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webcorpus.functions.patterns import WELL_KNOWN_PATHS
+from webcorpus.sources import captures
 
 _PATHS = ", ".join(f"'{path}'" for path in (*WELL_KNOWN_PATHS, "index.html"))
 
@@ -78,21 +79,18 @@ def _needed(name: str) -> list[str]:
     return [n for n in names if n in wanted]
 
 
+def _each(text: str, opening: str) -> str:
+    """Spell ``@each(...)`` as a dialect's generator over an array."""
+    return text.replace("@each(", opening).replace(") AS path", ")) AS path") if "@each(" in text else text
+
+
 def duckdb_ctes(*names: str) -> list[tuple[str, str]]:
     wanted = {n for name in names for n in _needed(name)}
-    return [(n, TABLES[n].replace("@each(", "unnest(list_value(").replace(") AS path", ")) AS path") if "@each(" in TABLES[n] else TABLES[n]) for n in TABLES if n in wanted]
+    return [(n, _each(text, "unnest(list_value(")) for n, text in TABLES.items() if n in wanted]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, or one derived from ``pages``."""
-    if name not in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = {
-        n: TABLES[n].replace("@each(", "explode(array(").replace(") AS path", ")) AS path")
-        if "@each(" in TABLES[n]
-        else TABLES[n]
-        for n in _needed(name)
-    }
-    ctes = ", ".join(f"{n} AS ({sql})" for n, sql in text.items())
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """A table derived from ``pages``."""
+    ctes = ", ".join(f"{n} AS ({_each(TABLES[n], 'explode(array(')})" for n in _needed(name))
+    pages = captures.read_pages(spark, f"{sf_dir}/pages.parquet")
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}".replace("FROM pages", "FROM {pages}"), pages=pages)

@@ -103,36 +103,37 @@ COMMENT_LINEAR = "(?s)" + COMMENT
 
 CSRF_FIELD = f"(?iu)(?:{CSRF_NAMES})"
 
-# category -> (java pattern, group, literal that must be present, in lower case)
+# category -> (java pattern, group, literals of which one must be in the text). Where the pattern ignores
+# case the literals are looked for in the lower-cased text; they leave out letters with odd case pairs.
 ENDPOINTS_LINEAR = {
-    "full_urls": (rf"""https?://[^{SPACE}'"<>)]++""", 0, "://"),
+    "full_urls": (rf"""https?://[^{SPACE}'"<>)]++""", 0, ("://",)),
     "api_paths": (
         r"""(?iu)["'](?=[a-zA-Z0-9_\-/]*+["'])"""
         r"""(/[a-zA-Z0-9_\-/]*(?:api|v[0-9]+|graphql|rest)[a-zA-Z0-9_\-/]*+)["']""",
         1,
-        None,
+        (),
     ),
     "graphql_endpoints": (
         r"""(?iu)["'](?=[^"']*+["'])(/[^"']*graphql[^"']*+)["']""",
         1,
-        None,
+        ("graphql",),
     ),
-    "websocket_endpoints": (rf"""wss?://[^{SPACE}'"<>)]++""", 0, "://"),
+    "websocket_endpoints": (rf"""wss?://[^{SPACE}'"<>)]++""", 0, ("://",)),
     "s3_buckets": (
         _run_start(r"a-zA-Z0-9\-_.")
         + r"[a-zA-Z0-9\-_.]+\.s3(?:[.\-][a-zA-Z0-9\-]+)?\.amazonaws\.com",
         0,
-        ".amazonaws.com",
+        (".amazonaws.com",),
     ),
     "firebase_urls": (
         _run_start(r"a-zA-Z0-9\-_") + r"[a-zA-Z0-9\-_]++\.firebaseio\.com",
         0,
-        ".firebaseio.com",
+        (".firebaseio.com",),
     ),
     "swagger_docs": (
         r"""(?iu)["'](?=[^"']*+(?<=\.json)["'])([^"']*(?:swagger|openapi)[^"']*\.json)["']""",
         1,
-        None,
+        ("wagger", "openap"),
     ),
 }
 

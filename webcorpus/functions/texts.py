@@ -16,6 +16,12 @@ from webcorpus.functions.urls import strip_space_sql
 _NO_TEXTS = "cast(array() AS array<string>)"
 
 
+def holds_one_of_sql(text: str, literals: Iterable[str], any_case: bool = False) -> str:
+    """Cheap test that lets a search be skipped; lower-cases the text once."""
+    marks = lambda t: " OR ".join(f"contains({t}, {quoted(mark)})" for mark in literals)
+    return let(f"lower({text})", "low", marks("low")) if any_case else f"({marks(text)})"
+
+
 def emails(text: str) -> Column:
     """Distinct e-mail addresses of a text; the search only runs where there is an ``@``."""
     found = f"array_distinct(regexp_extract_all({text}, {quoted(P.EMAIL_LINEAR)}, 0))"
@@ -36,9 +42,10 @@ def endpoints_of_sql(script: str, category: str) -> str:
     """Distinct endpoint references of one category in a script."""
     pattern, group, needed = P.ENDPOINTS_LINEAR[category]
     found = f"array_distinct(regexp_extract_all({script}, {quoted(pattern)}, {group}))"
-    if needed is None:
+    if not needed:
         return found
-    return f"IF(contains({script}, {quoted(needed)}), {found}, {_NO_TEXTS})"
+    present = holds_one_of_sql(script, needed, any_case=category in P.ENDPOINT_IGNORE_CASE)
+    return f"IF({present}, {found}, {_NO_TEXTS})"
 
 
 def endpoints_sql(script: str, categories: Iterable[str] = tuple(P.ENDPOINT_PATTERNS)) -> str:
@@ -110,7 +117,6 @@ def secrets_sql(text: str, detectors: Iterable[Detector] = DETECTORS) -> str:
         hit = f"""struct({quoted(detector.kind)} AS type, {quoted(detector.confidence)} AS confidence,
             {preview_sql('h.s')} AS value_preview, round(h.entropy, 6) AS entropy)"""
         hits = f"transform(filter({rated}, h -> h.entropy >= {detector.min_entropy}D), h -> {hit})"
-        marks = lambda t, d=detector: " OR ".join(f"contains({t}, {quoted(mark)})" for mark in d.needed)
-        present = let(f"lower({text})", "low", marks("low")) if detector.any_case else marks(text)
+        present = holds_one_of_sql(text, detector.needed, detector.any_case)
         found.append(f"IF({present}, {hits}, NULL)")
     return f"flatten(array_compact(array({', '.join(found)})))"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webcorpus.functions import urls
+from webcorpus.functions.text_sql import let
 from webcorpus.operators.joins import is_small
 
 
@@ -34,12 +35,10 @@ def allowed_domains(
     return spark.range(1).select(F.explode(F.array_distinct(F.array(*domains))).alias("domain"))
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` -> ``[a.b.c, b.c, c]``."""
-    labels = F.split(host, r"\.")
-    return F.transform(
-        labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")
-    )
+def host_suffixes(host: str) -> Column:
+    """``a.b.c`` in column ``host`` -> ``[a.b.c, b.c, c]``."""
+    tails = "transform(l, (_, i) -> array_join(slice(l, i + 1, size(l)), '.'))"
+    return F.expr(let(f"split({host}, '[.]')", "l", tails))
 
 
 def widest_domains(scope: DataFrame) -> DataFrame:
@@ -49,7 +48,7 @@ def widest_domains(scope: DataFrame) -> DataFrame:
     """
     scope = scope.filter(F.col("domain") != "").select("domain").distinct()
     inner = scope.select(
-        F.col("domain").alias("covered"), F.explode(host_suffixes(F.col("domain"))).alias("domain")
+        F.col("domain").alias("covered"), F.explode(host_suffixes("domain")).alias("domain")
     ).filter(F.col("domain") != F.col("covered"))
     covered = inner.join(scope, "domain", "left_semi").select(F.col("covered").alias("domain")).distinct()
     return scope.join(covered, "domain", "left_anti")
@@ -62,16 +61,15 @@ def in_scope(links: DataFrame, scope: DataFrame, url: str = "url") -> DataFrame:
     against the distinct hosts first, so that the links are shuffled once and hot hosts count once.
     """
     domains = widest_domains(scope)
-    host = urls.domain(F.col(url))
+    hosted = links.withColumn("_host", urls.domain(F.col(url)))
     if is_small(domains):
-        matching = links.withColumn("_suffix", F.explode(host_suffixes(host)))
+        matching = hosted.withColumn("_suffix", F.explode(host_suffixes("_host")))
         return matching.join(
             F.broadcast(domains), F.col("_suffix") == F.col("domain"), "left_semi"
-        ).drop("_suffix")
-    links = links.withColumn("_host", host)
-    hosts = links.select("_host").distinct().withColumn("_suffix", F.explode(host_suffixes(F.col("_host"))))
+        ).drop("_suffix", "_host")
+    hosts = hosted.select("_host").distinct().withColumn("_suffix", F.explode(host_suffixes("_host")))
     allowed = hosts.join(domains, F.col("_suffix") == F.col("domain"), "left_semi").select("_host")
-    return links.join(allowed, "_host", "left_semi").drop("_host")
+    return hosted.join(allowed, "_host", "left_semi").drop("_host")
 
 
 def without_static_assets(links: DataFrame, url: str = "url") -> DataFrame:

@@ -16,12 +16,16 @@ def read_pages(spark: SparkSession, path: str, file_format: str = "parquet", sch
         schema = CAPTURE_SCHEMA
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(path)
+    return spread(reader.load(path))
 
 
-def spread(df: DataFrame, partitions: int) -> DataFrame:
-    """Shuffle a scan that has fewer splits than cores: pages are dear to search and cheap to move."""
-    return df.repartition(partitions) if df.rdd.getNumPartitions() < partitions else df
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffle a scan that has fewer splits than there are cores: pages are dear to search, cheap to move.
+
+    A scan with enough splits, which any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def header(headers: Column, name: str) -> Column:
