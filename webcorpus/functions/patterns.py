@@ -99,7 +99,8 @@ def _run_start(chars: str) -> str:
 EMAIL_LINEAR = (
     _run_start(r"A-Za-z0-9._%+\-") + r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 )
-COMMENT_LINEAR = "(?s)" + COMMENT
+# Where one comment has no end no later one has: take the rest of the text instead of searching it again.
+COMMENT_LINEAR = r"(?s)<!--(?:(.*?)-->|.*+)"
 
 CSRF_FIELD = f"(?iu)(?:{CSRF_NAMES})"
 
@@ -146,7 +147,8 @@ ATTRIBUTES = rf"""(?:[^>=/]++|/(?!>)|=++\s*+{_VALUE}|=(?!\s*+["'=]))*+"""
 _END_OF_NAME = r"(?=[\s/>])"
 _RAW_TEXT = r"style|title|textarea|xmp|iframe|noembed|noframes"
 _COMMENT_MARKUP = r"!--(?:-?+>|.*?(?:--!?+>|\z))"
-_OTHER_MARKUP = rf"[a-zA-Z]{ATTRIBUTES}/?+>|[!?/][^>]*+>"
+# A tag that never ends (no bracket, or a quote left open) takes the rest of the page, as tokenizers do.
+_OTHER_MARKUP = rf"[a-zA-Z]{ATTRIBUTES}(?:/?+>|.*+)|[!?/][^>]*+>?+"
 _SCRIPT_OPEN = rf"script{_END_OF_NAME}{ATTRIBUTES}>"
 _SCRIPT_CLOSE = rf"(?:</script{_END_OF_NAME}[^>]*+>?+|\z)"
 _RAW_ELEMENT = (
@@ -169,7 +171,7 @@ TAG_NAME = r"\A([a-zA-Z]+)"
 # Tags that matter for which fields a form holds: whole for form and field tags, only the name for all
 # other opening and closing tags (they decide where an unclosed or mis-nested form ends).
 _FIELD_TAG = rf"(?:form|input|textarea|select){_END_OF_NAME}{ATTRIBUTES}/?+"
-_OTHER_NAME = rf"(?![a-zA-Z]{ATTRIBUTES}/>)/?+[a-zA-Z][^\s/>]*+"
+_OTHER_NAME = rf"/?+[a-zA-Z][^\s/>]*+(?={ATTRIBUTES}>)"
 FORM_PARTS = (
     rf"(?is)<(?:{_COMMENT_MARKUP}|{_SCRIPT_OPEN}.*?{_SCRIPT_CLOSE}"
     rf"|(?=({_FIELD_TAG}(?=>)|{_OTHER_NAME}))(?:{_RAW_ELEMENT}|[a-zA-Z/]{ATTRIBUTES}/?+>)"

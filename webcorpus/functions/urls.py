@@ -141,8 +141,8 @@ def _bad_host_sql(host: str) -> str:
     """True where URL parsers refuse the host: broken brackets or delimiter look-alikes."""
     inside = let(
         f"regexp_extract({host}, {quoted(P.BRACKETED)}, 1)",
-        "i",
-        f"rlike(i, {quoted(P.IPV6)}) OR rlike(i, {quoted(P.IP_FUTURE)})",
+        "_i",
+        f"rlike(_i, {quoted(P.IPV6)}) OR rlike(_i, {quoted(P.IP_FUTURE)})",
     )
     return f"""CASE
         WHEN contains({host}, '[') <> contains({host}, ']') THEN true
@@ -151,29 +151,33 @@ def _bad_host_sql(host: str) -> str:
         ELSE false END"""
 
 
-def _pieces_sql(url: str) -> str:
-    """``struct<s, n, p, m, q, bad>``: scheme, host, path, ``;params``, query and a refusal mark."""
-    part = lambda n: f"regexp_extract(c, {quoted(P.URL_PARTS)}, {n})"
-    params = lambda n: f"regexp_extract(t.w, {quoted(P.PATH_PARAMS)}, {n})"
-    split = f"""struct(lower(regexp_extract(c, {quoted(P.SCHEME)}, 1)) AS s,
+def _pieces_sql(url: str, default_scheme: str = "''") -> str:
+    """``struct<s, n, p, m, q, bad>``: scheme, host, path, ``;params``, query and a refusal mark.
+
+    Whether there are parameters depends on the scheme, for a URL without one on ``default_scheme``.
+    """
+    part = lambda n: f"regexp_extract(_c, {quoted(P.URL_PARTS)}, {n})"
+    params = lambda n: f"regexp_extract(_t.w, {quoted(P.PATH_PARAMS)}, {n})"
+    split = f"""struct(lower(regexp_extract(_c, {quoted(P.SCHEME)}, 1)) AS s,
         {part(1)} AS n, {part(2)} AS w, {part(3)} AS q)"""
-    has_params = f"contains(t.w, ';') AND {one_of('t.s', P.PARAM_SCHEMES)}"
-    cut = f"""struct(t.s AS s, t.n AS n, t.q AS q,
-        IF({has_params}, {params(1)}, t.w) AS p,
+    effective = f"IF(_t.s = '', {default_scheme}, _t.s)"
+    has_params = f"contains(_t.w, ';') AND {one_of(effective, P.PARAM_SCHEMES)}"
+    cut = f"""struct(_t.s AS s, _t.n AS n, _t.q AS q,
+        IF({has_params}, {params(1)}, _t.w) AS p,
         IF({has_params}, {params(2)}, '') AS m,
-        {_bad_host_sql('t.n')} AS bad)"""
-    return let(let(clean_url_sql(url), "c", split), "t", cut)
+        {_bad_host_sql('_t.n')} AS bad)"""
+    return let(let(clean_url_sql(url), "_c", split), "_t", cut)
 
 
 def base_parts(url: str) -> Column:
     """What resolving needs to know of the base URL in column ``url``; computed once per page."""
-    usable = f"NOT b.bad AND b.n <> '' AND b.s <> '' AND {one_of('b.s', P.RELATIVE_SCHEMES)}"
+    usable = f"NOT _b.bad AND _b.n <> '' AND _b.s <> '' AND {one_of('_b.s', P.RELATIVE_SCHEMES)}"
     return F.expr(
         let(
             _pieces_sql(url),
-            "b",
-            f"""struct({url} AS url, b.s AS s, b.n AS n, b.p AS p, b.m AS m, b.q AS q, b.bad AS bad,
-                IF({usable}, concat(b.s, '://', b.n), NULL) AS root)""",
+            "_b",
+            f"""struct({url} AS url, _b.s AS s, _b.n AS n, _b.p AS p, _b.m AS m, _b.q AS q, _b.bad AS bad,
+                IF({usable}, concat(_b.s, '://', _b.n), NULL) AS root)""",
         )
     )
 
@@ -181,12 +185,12 @@ def base_parts(url: str) -> Column:
 def _walk_sql(path: str) -> str:
     """Take ``.`` and ``..`` segments out of a path; one that ends in them keeps its slash."""
     walked = """concat(
-        aggregate(w, cast(array() AS array<string>), (done, seg) -> CASE
-            WHEN seg = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))
-            WHEN seg = '.' THEN done
-            ELSE array_append(done, seg) END),
-        IF(element_at(w, -1) IN ('.', '..'), array(''), cast(array() AS array<string>)))"""
-    return let(f"split({path}, '/')", "w", f"array_join({walked}, '/')")
+        aggregate(_w, cast(array() AS array<string>), (_done, _seg) -> CASE
+            WHEN _seg = '..' THEN slice(_done, 1, greatest(size(_done) - 1, 0))
+            WHEN _seg = '.' THEN _done
+            ELSE array_append(_done, _seg) END),
+        IF(element_at(_w, -1) IN ('.', '..'), array(''), cast(array() AS array<string>)))"""
+    return let(f"split({path}, '/')", "_w", f"array_join({walked}, '/')")
 
 
 def _merge_paths_sql(base_path: str, link_path: str) -> str:
@@ -198,20 +202,20 @@ def _merge_paths_sql(base_path: str, link_path: str) -> str:
         WHEN {base_path} = '' THEN {single(f"concat('/', {link_path})")}
         WHEN startswith({base_path}, '/') THEN {single(f"concat({folder}, {link_path})")}
         ELSE {single(f"ltrim('/', concat({folder}, {link_path}))")} END"""
-    walked = f"IF(rlike(j, {quoted(P.DOT_SEGMENT)}), {_walk_sql('j')}, j)"
-    return let(let(joined, "j", walked), "v", "IF(v = '', '/', v)")
+    walked = f"IF(rlike(_j, {quoted(P.DOT_SEGMENT)}), {_walk_sql('_j')}, _j)"
+    return let(let(joined, "_j", walked), "_v", "IF(_v = '', '/', _v)")
 
 
 def _put_together_sql(u: str) -> str:
     tail = f"concat({u}.p, IF({u}.m = '', '', concat(';', {u}.m)))"
     located = f"""CASE
         WHEN {u}.n <> '' THEN
-            concat('//', {u}.n, IF(tail = '' OR startswith(tail, '/'), '', '/'), tail)
-        WHEN startswith(tail, '//') THEN concat('//', tail)
-        WHEN {u}.s <> '' AND (tail = '' OR startswith(tail, '/')) AND {one_of(f'{u}.s', P.HOST_SCHEMES)}
-            THEN concat('//', tail)
-        ELSE tail END"""
-    return f"""concat(IF({u}.s = '', '', concat({u}.s, ':')), {let(tail, 'tail', located)},
+            concat('//', {u}.n, IF(_tail = '' OR startswith(_tail, '/'), '', '/'), _tail)
+        WHEN startswith(_tail, '//') THEN concat('//', _tail)
+        WHEN {u}.s <> '' AND (_tail = '' OR startswith(_tail, '/')) AND {one_of(f'{u}.s', P.HOST_SCHEMES)}
+            THEN concat('//', _tail)
+        ELSE _tail END"""
+    return f"""concat(IF({u}.s = '', '', concat({u}.s, ':')), {let(tail, '_tail', located)},
         IF({u}.q = '', '', concat('?', {u}.q)))"""
 
 
@@ -226,25 +230,26 @@ def resolve_sql(link: str, base: str) -> str:
     kind = f"""CASE
         WHEN {base}.url = '' THEN 'own'
         WHEN {link} = '' THEN 'base'
-        WHEN {base}.bad OR o.bad THEN 'bad'
-        WHEN (o.s <> '' AND o.s <> {base}.s) OR NOT {one_of(f'{base}.s', P.RELATIVE_SCHEMES)} THEN 'own'
-        WHEN o.n <> '' THEN 'absolute'
-        WHEN o.p = '' AND o.m = '' THEN 'same path'
+        WHEN {base}.bad OR _o.bad THEN 'bad'
+        WHEN (_o.s <> '' AND _o.s <> {base}.s) OR NOT {one_of(f'{base}.s', P.RELATIVE_SCHEMES)} THEN 'own'
+        WHEN _o.n <> '' THEN 'absolute'
+        WHEN _o.p = '' AND _o.m = '' THEN 'same path'
         ELSE 'merged' END"""
     chosen = f"""struct(
-        IF(k = 'own', o.s, {base}.s) AS s,
-        IF(k IN ('own', 'absolute'), o.n, {base}.n) AS n,
-        CASE WHEN k IN ('own', 'absolute') THEN o.p WHEN k IN ('base', 'same path') THEN {base}.p
-            ELSE {_merge_paths_sql(f'{base}.p', 'o.p')} END AS p,
-        IF(k IN ('base', 'same path'), {base}.m, o.m) AS m,
-        IF(k = 'base' OR (k = 'same path' AND o.q = ''), {base}.q, o.q) AS q)"""
+        IF(_k = 'own', _o.s, {base}.s) AS s,
+        IF(_k IN ('own', 'absolute'), _o.n, {base}.n) AS n,
+        CASE WHEN _k IN ('own', 'absolute') THEN _o.p WHEN _k IN ('base', 'same path') THEN {base}.p
+            ELSE {_merge_paths_sql(f'{base}.p', '_o.p')} END AS p,
+        IF(_k IN ('base', 'same path'), {base}.m, _o.m) AS m,
+        IF(_k = 'base' OR (_k = 'same path' AND _o.q = ''), {base}.q, _o.q) AS q)"""
     result = f"""CASE
-        WHEN k = 'bad' THEN ''
-        WHEN k = 'own' AND NOT contains({link}, '#') THEN {link}
-        WHEN k = 'base' AND NOT contains({base}.url, '#') THEN {base}.url
-        WHEN (k = 'own' AND o.bad) OR (k = 'base' AND {base}.bad) THEN ''
-        ELSE {let(chosen, 'u', _put_together_sql('u'))} END"""
-    full = let(_pieces_sql(link), "o", let(kind, "k", result))
+        WHEN _k = 'bad' THEN ''
+        WHEN _k = 'own' AND NOT contains({link}, '#') THEN {link}
+        WHEN _k = 'base' AND NOT contains({base}.url, '#') THEN {base}.url
+        WHEN (_k = 'own' AND _o.bad) OR (_k = 'base' AND {base}.bad) THEN ''
+        ELSE {let(chosen, '_u', _put_together_sql('_u'))} END"""
+    inherited = f"IF({one_of(f'{base}.s', P.RELATIVE_SCHEMES)}, {base}.s, '')"
+    full = let(_pieces_sql(link, inherited), "_o", let(kind, "_k", result))
     return f"IF({plain}, concat({base}.root, {link}), {strip_space_sql(full)})"
 
 
