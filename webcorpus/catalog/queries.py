@@ -383,5 +383,7 @@ def stream_findings(spark, sf_dir):
 @query
 def stream_visited(spark, sf_dir):
     pages = ingest.with_event_time(_page_stream(spark, sf_dir))
-    links = ingest.first_visits(ingest.linked_urls(pages, "captured_at"), "captured_at", "30 days")
+    links = ingest.first_visits(
+        ingest.linked_urls(pages, "captured_at"), "captured_at", "30 days", spread_by="page_url"
+    )
     return ingest.run_available(links.select("url"), "stream-visited")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.operators import extract, robots, scope
-from webcorpus.session import cut_lineage
+from webcorpus.operators.joins import broadcast_if_small
+from webcorpus.session import cut_lineage, written
 
 
 def crawl_edges(
@@ -17,31 +18,31 @@ def crawl_edges(
 ) -> DataFrame:
     """``src, dst``: links a crawl would follow from captured pages.
 
-    Pages that robots rules block stay reachable but lead nowhere. Filters run cheapest first.
+    Filters run cheapest first. Pages that robots rules block stay reachable but lead nowhere; that join is
+    made on the links, so the html is never shuffled.
     """
-    if robots_files is not None:
-        pages = robots.robots_allowed(pages, robots_files, user_agent).filter("allowed").drop("allowed")
     links = scope.without_static_assets(extract.page_links(pages))
-    followed = scope.in_scope(links, allowed)
-    return followed.select(F.col("page_url").alias("src"), F.col("url").alias("dst"))
+    edges = scope.in_scope(links, allowed).select(F.col("page_url").alias("src"), F.col("url").alias("dst"))
+    if robots_files is None:
+        return edges
+    judged = robots.robots_allowed(edges, robots_files, user_agent, url="src")
+    return judged.filter("allowed").select("src", "dst")
 
 
 def crawl_depth(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
     """``url, depth`` of every URL within ``max_depth`` steps, depth being the shortest distance.
 
-    The distinct edges are laid out by source once and checkpointed, so no level shuffles or recomputes
-    them. Each level is checkpointed too: the plan stays flat and a lost executor never replays the
-    levels before it. ``distinct`` before the anti join shrinks hub targets on the map side.
+    The distinct edges are written once, so that no level extracts links again. While the frontier is small
+    it is broadcast and the edges are only scanned; past the bound both sides shuffle and AQE splits a source
+    that holds very many edges. ``distinct`` before the anti join shrinks hub targets on the map side. Each
+    level is checkpointed: the plan stays flat and a lost executor never replays the levels before it.
     """
-    by_source = cut_lineage(edges.select("src", "dst").distinct().repartition("src"))
+    edges = written(edges.select("src", "dst").distinct(), "edges")
     frontier = cut_lineage(start.select("url").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
     for depth in range(1, max_depth + 1):
-        reached = (
-            by_source.join(frontier.select(F.col("url").alias("src")), "src")
-            .select(F.col("dst").alias("url"))
-            .distinct()
-        )
+        sources = broadcast_if_small(frontier.select(F.col("url").alias("src")))
+        reached = edges.join(sources, "src").select(F.col("dst").alias("url")).distinct()
         frontier = cut_lineage(
             reached.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
         )

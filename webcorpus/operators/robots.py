@@ -110,12 +110,14 @@ def compared_path(url: Column) -> Column:
     return F.when(encoded == "", "/").otherwise(encoded)
 
 
-def robots_allowed(links: DataFrame, robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
+def robots_allowed(
+    links: DataFrame, robots: DataFrame, user_agent: str = USER_AGENT, url: str = "url"
+) -> DataFrame:
     """``links`` with ``allowed``. One row per base on the right, so no pairs of URL and rule are made;
     a base that holds a third of all URLs is split by AQE's skew join."""
     decisions = robots_decisions(robots, user_agent).withColumnRenamed("base", "_base")
-    judged = links.withColumn("_base", urls.base_of(F.col("url"))).withColumn(
-        "_path", compared_path(F.col("url"))
+    judged = links.withColumn("_base", urls.base_of(F.col(url))).withColumn(
+        "_path", compared_path(F.col(url))
     ).join(decisions, "_base", "left")
     first = F.try_element_at(
         F.filter("rules", lambda rule: (rule["path"] == "*") | F.startswith(F.col("_path"), rule["path"])),

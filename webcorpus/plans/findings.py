@@ -129,15 +129,18 @@ def corpus_findings(
     exposed: DataFrame | None = None,
     errors: DataFrame | None = None,
     key: str | None = "page_id",
+    store: bool = False,
 ) -> DataFrame:
     """The complete findings table.
 
-    With script assets the page findings are needed twice (themselves, and the script URLs for the join), so
-    they are written once, split by section, instead of searching all html a second time.
+    ``store`` writes the page findings once, split by section, so that several reports read that small table
+    instead of searching all html again. Script assets always need it: the page findings feed the result and
+    the join with the script URLs.
     """
     found = page_findings(pages, key)
-    if js_assets is not None:
+    if store or js_assets is not None:
         found = written(found, "page-findings", partition_by="section").select(*COLUMNS)
+    if js_assets is not None:
         js_urls = found.filter(F.col("section") == "js_files").select(F.col("value").alias("js_url"))
         found = found.unionByName(asset_findings(js_urls, js_assets))
     for section, rows, category, value in (

@@ -58,27 +58,27 @@ def _title() -> F.Column:
 
 
 def report_items(findings: DataFrame) -> DataFrame:
-    """``section, item`` and the order of items: sets by value, bags by source and place in it."""
-    once = distinct_findings(findings).drop("n")
-    params = once.filter(F.col("section") == "params")
-    named = [
-        params.filter(test(F.col("value"))).withColumn("section", F.lit(section))
-        for section, test in (
-            ("idor_candidates", texts.is_idor_name),
-            ("admin_param_candidates", texts.is_admin_name),
+    """``section, item`` and the order of items: sets by value, bags by source and place in it.
+
+    Reads the findings twice (sets are made distinct, bags are not), so they should be a stored table.
+    """
+    values = distinct_findings(findings)
+    is_param = F.col("section") == "params"
+    titles = F.array_compact(
+        F.array(
+            _title(),
+            F.when(is_param & texts.is_idor_name(F.col("value")), TITLES["idor_candidates"]),
+            F.when(is_param & texts.is_admin_name(F.col("value")), TITLES["admin_param_candidates"]),
         )
-    ]
-    values = once.unionByName(named[0]).unionByName(named[1])
+    )
     sets = values.select(
-        _title().alias("section"),
+        F.explode(titles).alias("section"),
         F.col("value").alias("item"),
         F.col("value").alias("sort_key"),
         F.lit(None).cast("bigint").alias("page_key"),
         F.lit(0).alias("pos"),
     )
-    bags = findings.filter(
-        ~F.col("section").isin(*SET_SECTIONS) & F.col("section").isin(*[s for s in TITLES])
-    )
+    bags = findings.filter(~F.col("section").isin(*SET_SECTIONS) & F.col("section").isin(*TITLES))
     return sets.unionByName(
         bags.select(
             _title().alias("section"), _row_text().alias("item"), F.col("source").alias("sort_key"), "page_key", "pos"

@@ -20,18 +20,23 @@ def stream_findings(pages: DataFrame, key: str | None = "page_id") -> DataFrame:
     return page_findings(pages, key)
 
 
-def first_visits(links: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
+def first_visits(links: DataFrame, event_time: str, delay: str = "1 day", spread_by: str | None = None) -> DataFrame:
     """First sighting of each URL: the visited set as streaming state.
 
     State is bounded: a URL is forgotten once the watermark has passed its sighting by ``delay``, so it may
-    show up again much later.
+    show up again much later. With ``spread_by`` (a column such as the linking page) sightings are first
+    thinned out in 32 slices per URL, so a URL that most pages link to does not meet one task.
     """
-    return links.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url"])
+    links = links.withWatermark(event_time, delay)
+    if spread_by is not None:
+        slices = links.withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.lit(32)))
+        links = slices.dropDuplicatesWithinWatermark(["url", "_slice"]).drop("_slice")
+    return links.dropDuplicatesWithinWatermark(["url"])
 
 
 def linked_urls(pages: DataFrame, event_time: str) -> DataFrame:
-    """``url, event_time`` of all links of a page stream that carries an event time."""
-    return extract.page_links(pages, keep=(event_time,)).select("url", event_time)
+    """``page_url, url, event_time`` of all links of a page stream that carries an event time."""
+    return extract.page_links(pages, keep=(event_time,))
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
