@@ -93,4 +93,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table derived from ``pages``."""
     ctes = ", ".join(f"{n} AS ({_each(TABLES[n], 'explode(array(')})" for n in _needed(name))
     pages = captures.read_pages(spark, f"{sf_dir}/pages.parquet")
+    if name == "deco":  # the input of the html searches
+        pages = captures.spread(pages)
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}".replace("FROM pages", "FROM {pages}"), pages=pages)

@@ -157,7 +157,7 @@ def internal_urls(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    return extract.page_links(_pages(spark, sf_dir))
+    return extract.page_links(captures.spread(_pages(spark, sf_dir)))
 
 
 @query
@@ -214,7 +214,8 @@ def form_params(spark, sf_dir):
 
 @query
 def secrets_documents(spark, sf_dir):
-    texts = _documents(spark, sf_dir).select(F.col("doc_id").alias("source"), F.col("text").alias("body"))
+    documents = captures.spread(_documents(spark, sf_dir))
+    texts = documents.select(F.col("doc_id").alias("source"), F.col("text").alias("body"))
     return extract.secrets(texts)
 
 

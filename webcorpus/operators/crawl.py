@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.operators import extract, robots, scope
-from webcorpus.operators.joins import broadcast_if_small
-from webcorpus.session import cut_lineage, written
+from webcorpus.operators.joins import measure
+from webcorpus.session import written
 
 
 def crawl_edges(
@@ -35,19 +35,19 @@ def crawl_depth(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataF
     The distinct edges are written once, so that no level extracts links again. While the frontier is small
     it is broadcast and the edges are only scanned; past the bound both sides shuffle and AQE splits a source
     that holds very many edges. ``distinct`` before the anti join shrinks hub targets on the map side. Each
-    level is checkpointed: the plan stays flat and a lost executor never replays the levels before it.
+    level is written: the plan stays flat and a lost executor never replays the levels before it.
     """
     edges = written(edges.select("src", "dst").distinct(), "edges")
-    frontier = cut_lineage(start.select("url").distinct().withColumn("depth", F.lit(0)))
-    visited = frontier
+    visited = frontier = written(start.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
     for depth in range(1, max_depth + 1):
-        sources = broadcast_if_small(frontier.select(F.col("url").alias("src")))
-        reached = edges.join(sources, "src").select(F.col("dst").alias("url")).distinct()
-        frontier = cut_lineage(
-            reached.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
-        )
-        if frontier.isEmpty():
+        sources = frontier.select(F.col("url").alias("src"))
+        size = measure(sources)
+        if size.rows == 0:
             break
+        sources = F.broadcast(sources) if size.small else sources
+        reached = edges.join(sources, "src").select(F.col("dst").alias("url")).distinct()
+        new = reached.join(visited.select("url"), "url", "left_anti")
+        frontier = written(new.withColumn("depth", F.lit(depth)), "frontier")
         visited = visited.unionByName(frontier)
     return visited
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions import markup, texts, urls
 from webcorpus.plans.findings import SET_SECTIONS, distinct_findings
-from webcorpus.session import cut_lineage
+from webcorpus.session import written
 
 # --- Fixed values: titles and order of the report sections ----------------------------------------
 
@@ -89,13 +89,14 @@ def report_items(findings: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, group: str, order: list[str], out: str = "pos") -> DataFrame:
     """Exact position of each row in its group without bringing a group into one task.
 
-    Rows are range-sorted by group and order, so a big group spreads over many partitions, and checkpointed,
-    so the layout is fixed. A row's position is its place in its partition plus what earlier partitions
-    hold of the group; those counts are one row per partition and group they touch.
+    Rows are range-sorted by group and order, so a big group spreads over many partitions, and written with
+    their partition and place in it, so both are fixed. A row's position is its place in its partition plus
+    what earlier partitions hold of the group; those counts are one row per partition and group they touch.
     """
-    laid_out = cut_lineage(
-        rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    ).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    laid_out = written(
+        ordered.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}), "numbered"
+    )
     counts = laid_out.groupBy(group, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")

@@ -56,7 +56,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Used where a frame that is dear to compute (a scan of all html) feeds several consumers: they
-    read the small result with pruning, and a lost executor costs one re-read instead of the scan.
+    read the small result with pruning, and a lost executor costs one re-read instead of the scan. It also
+    cuts lineage in loops, computing the rows once.
     ``rebalance`` evens out file sizes and splits a hot ``partition_by`` value over many files.
     """
     spark = df.sparkSession
@@ -66,9 +67,3 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     else:
         df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows live in the shared folder and survive executor loss."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
