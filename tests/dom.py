@@ -60,16 +60,17 @@ def inline(html):
     return ["".join(t["children"]) for t in found if t["children"]]
 
 
+def field(node):
+    attrs, kind = node["attrs"], node["name"]
+    if kind == "input":
+        kind = attrs["type"] if "type" in attrs else "text"
+    return attrs.get("name", ""), kind
+
+
 def forms(html):
-    page = Page(html)
-    return [
-        (
-            form["attrs"].get("action", ""),
-            form["attrs"].get("method", "GET").upper(),
-            [
-                (f["attrs"].get("name", ""), f["attrs"].get("type", "text") if f["name"] == "input" else f["name"])
-                for f in page.all("input", "textarea", "select", node=form)
-            ],
-        )
-        for form in page.all("form")
-    ]
+    page, found = Page(html), []
+    for node in page.all("form"):
+        attrs = {"action": "", "method": "get", **node["attrs"]}
+        fields = [field(inner) for inner in page.all("input", "textarea", "select", node=node)]
+        found.append((attrs["action"], attrs["method"].upper(), fields))
+    return found

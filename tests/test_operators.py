@@ -135,8 +135,9 @@ def test_crawl_depth_on_graphs_with_cycles_and_hubs(spark):
     got = crawl.crawl_depth(frame, start, max_depth=4)
     expected = brute_force_depths(edges, "n0", 4)
     assert {r.url: r.depth for r in got.collect()} == expected
-    first = sorted((d, u) for u, d in expected.items())[:5]
-    assert [(r.depth, r.url) for r in crawl.crawl_capped(got, 5).collect()] == first
+    for cap in (1, 5, 12, 500):
+        first = sorted((d, u) for u, d in expected.items())[:cap]
+        assert [(r.depth, r.url) for r in crawl.crawl_capped(frame, start, 4, cap).collect()] == first
     assert {r.url for r in crawl.crawl_depth(frame, start, max_depth=0).collect()} == {"n0"}
 
 

@@ -288,19 +288,18 @@ def robots_allowed(spark, sf_dir):
 # --- Link graph --------------------------------------------------------------------------------------
 
 
-def _crawled(spark, sf_dir):
-    start = table(spark, sf_dir, "nodes").filter("page_id = 0").select("url")
-    return crawl.crawl_depth(table(spark, sf_dir, "edges"), start, max_depth=6)
+def _start(spark, sf_dir):
+    return table(spark, sf_dir, "nodes").filter("page_id = 0").select("url")
 
 
 @query
 def crawl_depth(spark, sf_dir):
-    return _crawled(spark, sf_dir)
+    return crawl.crawl_depth(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6)
 
 
 @query
 def crawl_capped(spark, sf_dir):
-    return crawl.crawl_capped(_crawled(spark, sf_dir), max_pages=40)
+    return crawl.crawl_capped(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, max_pages=40)
 
 
 # --- Classification ----------------------------------------------------------------------------------

@@ -76,10 +76,10 @@ def forms_of(parts) -> list[dict]:
             forms.append(form)
         elif name in ("input", "textarea", "select") and counts.get("form"):
             attributes = _attributes(part, len(name))
-            field = {
-                "name": attributes.get("name", ""),
-                "type": attributes.get("type", "text") if name == "input" else name,
-            }
+            kind = name
+            if kind == "input":
+                kind = attributes.get("type", "text")
+            field = {"name": attributes.get("name", ""), "type": kind}
             for _, around in open_tags:
                 if around is not None:
                     around["inputs"].append(field)

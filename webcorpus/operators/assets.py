@@ -18,7 +18,10 @@ def js_asset_join(js_urls: DataFrame, js_assets: DataFrame) -> DataFrame:
 
 
 def render_overlay(pages: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Pages with their html replaced where a rendered copy of the URL exists."""
+    """Pages with their html replaced where a rendered copy of the URL exists.
+
+    ``rendered`` holds a URL once. Both sides carry html, so tables of this size are best bucketed by URL.
+    """
     copies = rendered.select("url", F.col("html").alias("_rendered"))
     return pages.join(copies, "url", "left").select(
         *[

@@ -29,20 +29,24 @@ def crawl_edges(
     return judged.filter("allowed").select("src", "dst")
 
 
-def crawl_depth(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
+def crawl_depth(edges: DataFrame, start: DataFrame, max_depth: int = 3, enough: int | None = None) -> DataFrame:
     """``url, depth`` of every URL within ``max_depth`` steps, depth being the shortest distance.
 
+    With ``enough`` the walk ends after the level that brings the total to that many URLs.
+
     The distinct edges are written once, so that no level extracts links again. While the frontier is small
     it is broadcast and the edges are only scanned; past the bound both sides shuffle and AQE splits a source
     that holds very many edges. ``distinct`` before the anti join shrinks hub targets on the map side. Each
     level is written: the plan stays flat and a lost executor never replays the levels before it.
     """
     edges = written(edges.select("src", "dst").distinct(), "edges")
+    total = 0
     visited = frontier = written(start.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
     for depth in range(1, max_depth + 1):
         sources = frontier.select(F.col("url").alias("src"))
         size = measure(sources)
-        if size.rows == 0:
+        total += size.rows
+        if size.rows == 0 or (enough is not None and total >= enough):
             break
         sources = F.broadcast(sources) if size.small else sources
         reached = edges.join(sources, "src").select(F.col("dst").alias("url")).distinct()
@@ -52,6 +56,10 @@ def crawl_depth(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataF
     return visited
 
 
-def crawl_capped(visited: DataFrame, max_pages: int = 300) -> DataFrame:
-    """The first ``max_pages`` URLs in ``(depth, url)`` order: the page cap of a crawl, a top-k."""
+def crawl_capped(edges: DataFrame, start: DataFrame, max_depth: int = 3, max_pages: int = 300) -> DataFrame:
+    """The first ``max_pages`` URLs in ``(depth, url)`` order: a crawl with a page cap, a top-k.
+
+    Whole levels are walked until they hold enough URLs; deeper ones could not be among the first.
+    """
+    visited = crawl_depth(edges, start, max_depth, enough=max_pages)
     return visited.orderBy("depth", "url").limit(max_pages)

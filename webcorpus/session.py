@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A row handed to Python is the tag list of a whole page.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webcorpus.functions.patterns import TEXT_CONTENT_MARKS
+
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 CAPTURE_SCHEMA = PAGE_SCHEMA + ", status int, headers map<string,string>, error string, ts timestamp"
 
@@ -35,10 +40,9 @@ def header(headers: Column, name: str) -> Column:
 
 
 def is_textual(content_type: Column) -> Column:
-    marks = F.contains(content_type, F.lit("text"))
-    for mark in ("javascript", "json"):
-        marks = marks | F.contains(content_type, F.lit(mark))
-    return marks | (content_type == "")
+    """Content types kept as text; case-sensitive, and a missing type passes."""
+    marks = [F.contains(content_type, F.lit(mark)) for mark in TEXT_CONTENT_MARKS]
+    return reduce(or_, marks, content_type == "")
 
 
 def content_gate(captures: DataFrame) -> DataFrame:
