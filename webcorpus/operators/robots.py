@@ -31,21 +31,23 @@ def robots_lines(robots: DataFrame) -> DataFrame:
     )
 
 
+def _prefixed(text: Column, prefix: str) -> Column:
+    """``prefix`` before a non-empty text; mentions ``text`` once, so long expressions are not copied."""
+    return F.regexp_replace(text, r"(?s)\A(?=.)", prefix)
+
+
 def _rule_path(value: Column) -> Column:
     """A rule's path the way it is compared: empty parts dropped, percent-encoded."""
     clean = urls.clean_url(value)
-    scheme, host = urls.scheme(clean), urls.netloc(clean)
-    front = F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise("")
-    located = F.when(host != "", F.concat(F.lit("//"), host)).otherwise("")
-    return urls.percent_encode(F.concat(front, located, _after_host(clean)))
+    scheme = F.regexp_replace(urls.scheme(clean), r"(?<=.)\z", ":")
+    return urls.percent_encode(F.concat(scheme, _prefixed(urls.netloc(clean), "//"), _after_host(clean)))
 
 
 def _after_host(clean: Column) -> Column:
-    query, fragment = urls.query(clean), urls.fragment(clean)
     return F.concat(
         F.regexp_replace(urls.path(clean), r"(?s)((?:\A|/)[^/;]*+);\z", "$1"),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+        _prefixed(urls.query(clean), "?"),
+        _prefixed(urls.fragment(clean), "#"),
     )
 
 
@@ -103,11 +105,9 @@ def robots_decisions(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFra
 
 def compared_path(url: Column) -> Column:
     """The part of a URL that rules are compared with: everything after the host, encoded."""
-    clean = urls.clean_url(urls.percent_decode(url))
-    after = _after_host(clean)
-    after = F.when(F.startswith(after, F.lit("//")), F.concat(F.lit("//"), after)).otherwise(after)
-    encoded = urls.percent_encode(after)
-    return F.when(encoded == "", "/").otherwise(encoded)
+    after = _after_host(urls.clean_url(urls.percent_decode(url)))
+    encoded = urls.percent_encode(F.regexp_replace(after, r"\A(?=//)", "//"))
+    return F.regexp_replace(encoded, r"\A\z", "/")
 
 
 def robots_allowed(
