@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.llm.components import components
-from webcorpus.llm.words import mix, ngram_hashes, texts_of, word_hashes
+from webcorpus.llm.words import hashed_texts, mix, ngram_hashes, texts_of
 from webcorpus.session import Scratch, written
 
 FREQUENT_LOCAL = 4  # a task reports n-grams that so many of the sets it has seen hold
@@ -33,9 +33,8 @@ BITMAP_MOST = 1 << 15  # bits of the largest signature
 SURVIVOR_BITS = 1 << 20  # slots of the filter that finds the texts of candidates again
 
 
-def shingles(text: bytes, n: int) -> np.ndarray:
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; a shorter text is one n-gram, one without words has none."""
-    words = word_hashes(text)[0]
     if 0 < len(words) < n:
         return mix(ngram_hashes(words, len(words)) + np.uint64(len(words)))
     found = np.sort(ngram_hashes(words, n))
@@ -124,8 +123,8 @@ def _sets(n: int):
 
         for batch in batches:
             sizes, ids = [], []
-            for text in texts_of(batch, 1):
-                members = shingles(text, n)
+            for _, words, _, _ in hashed_texts(texts_of(batch, 1)):
+                members = shingles(words, n)
                 sizes.append(len(members))
                 ids.append(set_id(members) if len(members) else None)
                 held.append(members)
@@ -149,8 +148,8 @@ def _prefixes(n: int, percent: int, last: np.ndarray):
         seen: set[int] = set()  # sets of this task: copies give their prefix once
         for batch in batches:
             out: list[tuple[np.ndarray, int, int, int]] = []
-            for text in texts_of(batch, 1):
-                members = shingles(text, n)
+            for _, words, _, _ in hashed_texts(texts_of(batch, 1)):
+                members = shingles(words, n)
                 size = len(members)
                 if not size or (one := set_id(members)) in seen:
                     continue
@@ -227,7 +226,7 @@ def _members(n: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                sets = [shingles(text, n) for text in texts_of(part, 1)]
+                sets = [shingles(words, n) for _, words, _, _ in hashed_texts(texts_of(part, 1))]
                 ids = [set_id(s) if len(s) else None for s in sets]
                 maps = [parity_bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else b"" for s in sets]
                 yield _batch(names, part.column(0), pa.array(ids, pa.int64()), [s.tobytes() for s in sets], maps)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webcorpus.llm.decontaminate import leaks
 from webcorpus.llm.ngram_join import ngram_join
 from webcorpus.llm.packing import pack
 
@@ -27,8 +28,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_ngram_join": op5_ngram_join,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLES: dict[str, str] = {}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+GROUP = 1 << 15  # bytes of short texts hashed together
 CHUNK = 1 << 18  # bytes hashed at a time, so long texts need little memory
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers have inverses
 
@@ -18,6 +19,8 @@ with np.errstate(over="ignore"):
     BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64)[_lower]
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SEPARATORS)] = False
+# For matching that ignores marks: letters, digits and all that isn't ASCII.
+IS_PLAIN = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 _powers: list[np.ndarray] = []
 
 
@@ -44,8 +47,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _chunk_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inside = IS_WORD[data]
+def _chunk_words(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inside = kind[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         edges = np.concatenate([[0], edges])
@@ -58,27 +61,54 @@ def _chunk_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverses[starts]), starts, ends
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of each word of an UTF-8 text. Equal words have equal hashes at any place."""
+def word_hashes(text: bytes, kind: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of each word of an UTF-8 text. Equal words have equal hashes at any place.
+
+    ``kind`` tells which bytes are part of a word.
+    """
     data = np.frombuffer(text, np.uint8)
     if len(data) <= CHUNK:
-        return _chunk_words(data)
+        return _chunk_words(data, kind)
     parts, at = [], 0
     while at < len(data):
         end = at + CHUNK
         while end < len(data):  # up to the next separator, so that no word is cut
-            gaps = np.flatnonzero(~IS_WORD[data[end : end + CHUNK]])
+            gaps = np.flatnonzero(~kind[data[end : end + CHUNK]])
             if len(gaps):
                 end += int(gaps[0])
                 break
             end += CHUNK
         end = min(end, len(data))
-        h, s, e = _chunk_words(data[at:end])
+        h, s, e = _chunk_words(data[at:end], kind)
         parts.append((h, s + at, e + at))
         at = end
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+Hashed = tuple[bytes, np.ndarray, np.ndarray, np.ndarray]
+
+
+def hashed_texts(texts: Iterable[bytes], kind: np.ndarray = IS_WORD) -> Iterator[Hashed]:
+    """Each text with what ``word_hashes`` gives for it; short texts are hashed together, which costs less."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= GROUP:
+            yield from _together(held, kind)
+            held, size = [], 0
+    yield from _together(held, kind)
+
+
+def _together(texts: list[bytes], kind: np.ndarray) -> Iterator[Hashed]:
+    hashes, first, last = word_hashes(b"\n".join(texts), kind)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    cuts = np.searchsorted(first, begins).tolist()
+    for text, begin, a, b in zip(texts, begins.tolist(), cuts, cuts[1:], strict=False):
+        yield text, hashes[a:b], first[a:b] - begin, last[a:b] - begin
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` words, in order of place."""
     count = len(words) - n + 1
