@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from webcorpus.llm.decontaminate import leaks
 from webcorpus.llm.ngram_join import ngram_join
 from webcorpus.llm.packing import pack
+from webcorpus.llm.quality import fit, scored
+from webcorpus.llm.secret_scan import BASE_KINDS, secret_scan
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,6 +26,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan(docs, docs["source"], F.concat_ws("/", docs["source"], docs["lang"]))
+    base = F.filter("spans", lambda s: s["kind_no"] < BASE_KINDS)
+    count = lambda name, value: F.size(F.filter("spans", lambda s: s[name] == value)).cast("bigint")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[count("kind", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        count("verdict", "live").alias("n_live"),
+        count("verdict", "copied").alias("n_copied"),
+    )
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -32,9 +50,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    weights = fit(docs, labels.where(~held_out))
+    return scored(docs, weights).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_secret_scan": op2_secret_scan,
     "op5_ngram_join": op5_ngram_join,
     "op9_decontamination": op9_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
