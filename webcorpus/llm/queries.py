@@ -10,7 +10,9 @@ from webcorpus.llm.decontaminate import leaks
 from webcorpus.llm.ngram_join import ngram_join
 from webcorpus.llm.packing import pack
 from webcorpus.llm.quality import fit, scored
+from webcorpus.llm.quality_rules import quality_rules
 from webcorpus.llm.secret_scan import BASE_KINDS, secret_scan
+from webcorpus.llm.url_templates import url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -42,10 +44,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last number of a page's path is the document it shows; that document's label is the page's."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    shown = F.regexp_extract(F.regexp_replace("url", "[?#].*", ""), "/([0-9]{1,18})(?:[.]html|/)?$", 1)
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("label"))
+    urls = pages.select("url", shown.alias("shown")).where("shown <> ''").select("url", F.col("shown").cast("bigint").alias("doc_id"))
+    return url_filter(pages, urls.join(known, "doc_id").select("url", "label"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +80,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op3_url_templates": op3_url_templates,
     "op5_ngram_join": op5_ngram_join,
+    "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
