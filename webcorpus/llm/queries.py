@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webcorpus.llm.decontaminate import leaks
+from webcorpus.llm.html_extract import extract
 from webcorpus.llm.ngram_join import ngram_join
 from webcorpus.llm.packing import pack
 from webcorpus.llm.quality import fit, scored
 from webcorpus.llm.quality_rules import quality_rules
 from webcorpus.llm.secret_scan import BASE_KINDS, secret_scan
+from webcorpus.llm.token_files import token_counts
 from webcorpus.llm.url_templates import url_filter
+from webcorpus.session import new_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_OF_TEXT = 49407  # of that vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +57,19 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, urls.join(known, "doc_id").select("url", "label"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), TOKENIZER, END_OF_TEXT)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -81,7 +94,9 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
     "op3_url_templates": op3_url_templates,
+    "op4_token_counts": op4_token_counts,
     "op5_ngram_join": op5_ngram_join,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,

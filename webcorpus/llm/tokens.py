@@ -21,13 +21,17 @@ END_OF_WORD = "</w>"
 
 
 class WordTokenizer:
-    """``ids`` gives a uint16 array per text, equal to ``encode(text, add_special_tokens=False).ids``."""
+    """``ids`` gives a uint16 array per text, equal to ``encode(text, add_special_tokens=False).ids``.
 
-    def __init__(self, path: str):
+    With ``plain`` the names of special tokens in a text are ordinary text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         vocabulary = self.tokenizer.get_vocab()
         assert max(vocabulary.values()) < 1 << 16
         self.ends = np.zeros(1 << 16, bool)
@@ -91,6 +95,6 @@ class WordTokenizer:
 
 
 @functools.lru_cache(maxsize=4)
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, plain: bool = False) -> WordTokenizer:
     """One tokenizer and cache per worker process."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, plain)
