@@ -15,6 +15,7 @@ from webcorpus.llm.quality_rules import quality_rules
 from webcorpus.llm.secret_scan import BASE_KINDS, secret_scan
 from webcorpus.llm.token_files import token_counts
 from webcorpus.llm.url_templates import url_filter
+from webcorpus.llm.warc import archive_round_trip
 from webcorpus.session import new_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +78,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op5_ngram_join": op5_ngram_join,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
