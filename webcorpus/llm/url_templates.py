@@ -1,7 +1,8 @@
 """URL filter by a path-template tree per host.
 
 Paths become templates from the root down: a segment whose values vary under its parent is a wildcard, other segments stay
-as branches. Branches of a parent whose labelled shares of good pages don't differ by more than chance are merged into one.
+as branches. Branches of a parent whose labelled shares of good pages don't differ by more than chance are merged into one: ordered
+by share, they are cut where two neighbours differ.
 A template's purity is its share of good pages, smoothed towards its host's, and that towards the share of all; a template of
 low purity is rejected. Rules given by host and path go before. Everything is DataFrame operations: the tree is built from one
 row per host and typed path with counts, not from pages.
@@ -9,10 +10,9 @@ row per host and typed path with counts, not from pages.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.operators.joins import broadcast_if_small
@@ -20,7 +20,7 @@ from webcorpus.session import written
 
 DEPTH = 6  # levels of the tree; what lies below a deeper segment is one wildcard
 VALUES, SPREAD = 12, 0.2  # a segment varies if a parent has so many values of it and so many a page
-DIFFERS = 2.58  # standard errors by which a branch of its own differs (1 % of equal ones)
+DIFFERS = 2.58  # standard errors by which branches differ (1 % of equal ones)
 HOST_WEIGHT, TEMPLATE_WEIGHT = 20.0, 10.0  # labelled pages that the smoothing counts for
 LEAST_PURITY = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,7 +81,7 @@ def template_tree(counts: DataFrame) -> DataFrame:
     """``host, typed, template`` of ``counts(host, typed, pages, good, labelled)``.
 
     One level after the other: first what varies is widened, by numbers of values and pages of the parent; then siblings with
-    equal rest are compared with their common share, and those that don't differ from it become one branch.
+    equal rest are compared in order of their shares, and neighbours that don't differ become one branch.
     """
     segments = F.split(F.regexp_replace("typed", "^/", ""), "/")
     tree = counts.withColumn("_s", segments).withColumn("_at", F.lit(""))
@@ -107,15 +107,23 @@ def template_tree(counts: DataFrame) -> DataFrame:
     own = tree.where("_family IS NOT NULL").groupBy("host", "_family", "_branch").agg(
         F.sum("good").alias("g"), F.sum("labelled").alias("n")
     )
-    family = own.groupBy("host", "_family").agg(F.sum("g").alias("all_g"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("branches"))
-    share = (F.col("all_g") + 1) / (F.col("all_n") + 2)
-    gap = F.abs(F.col("g") / F.nullif("n", F.lit(0)) - share) / F.sqrt(share * (1 - share) / F.nullif("n", F.lit(0)))
-    alike = own.join(family, ["host", "_family"]).where("branches > 1").where(F.coalesce(gap <= DIFFERS, F.lit(True)))
-    alike = alike.select("host", "_family", "_branch", F.lit(True).alias("_alike"))
-    tree = tree.join(broadcast_if_small(alike), ["host", "_family", "_branch"], "left")
-    return tree.withColumn("template", F.when(F.col("_alike"), F.col("_family")).otherwise(F.col("template"))).drop(
-        "_alike", "_family", "_branch"
+    # In order of their shares, siblings are cut apart where two neighbours differ by more than chance.
+    siblings = Window.partitionBy("host", "_family")
+    whole = (F.sum("g").over(siblings) + 1) / (F.sum("n").over(siblings) + 2)
+    own = own.withColumn("share", (F.col("g") + whole) / (F.col("n") + 1))
+    order = siblings.orderBy("share", "_branch")
+    g, n, last_g, last_n = F.col("g"), F.nullif("n", F.lit(0)), F.lag("g").over(order), F.nullif(F.lag("n").over(order), F.lit(0))
+    both = (g + last_g + 1) / (n + last_n + 2)
+    gap = F.abs(g / n - last_g / last_n) / F.sqrt(both * (1 - both) * (1 / n + 1 / last_n))
+    own = own.withColumn("cut", F.coalesce(gap > DIFFERS, F.lit(False)).cast("int"))
+    own = own.withColumn("group", F.sum("cut").over(order)).withColumn(
+        "branches", F.count(F.lit(1)).over(Window.partitionBy("host", "_family", "group"))
     )
+    merged = F.concat(F.lit("/*"), F.when(F.col("group") > 0, F.col("group").cast("string")).otherwise(""))
+    alike = own.where("branches > 1").select("host", "_family", "_branch", merged.alias("_merged"))
+    tree = tree.join(broadcast_if_small(alike), ["host", "_family", "_branch"], "left")
+    joined = F.concat("_merged", F.substring("_family", 3, F.length("_family")))
+    return tree.withColumn("template", F.coalesce(joined, F.col("template"))).drop("_merged", "_family", "_branch")
 
 
 def url_filter(
