@@ -1,11 +1,12 @@
 """Exact n-gram Jaccard join: size-banded tiles, bitmap signatures, sorted-array intersection.
 
-Candidates. Two sets that link share a member of their prefixes: with ``n`` members and similarity t, the first
-``n - ceil(t n) + 1`` in any order that all sets follow. The order here puts frequent n-grams last, so passages that many
-documents share seldom are in a prefix. A frequency only moves an n-gram in the order; it never decides a link.
+Candidates. Two sets that link share l members of their prefixes: with ``n`` members and similarity t, the first
+``n - ceil(t n) + l`` in any order that all sets follow. The order here puts frequent n-grams last, so passages that many
+documents share seldom are in a prefix. A frequency only moves an n-gram in the order; it never decides a link. l grows with
+n, so that a few common passages don't make a candidate; sets that share too few members with any others are left out.
 
-Tiles. Sets that share a prefix member within the size band of the smallest of them meet in its tile, once each. A tile
-compares bitmaps of member parities: bits that differ bound the overlap from above, and only what passes is intersected. Sets
+Tiles. Each set meets the smallest set of the size band that it shares most prefix members with; what hangs together by such
+meetings is a tile, if it isn't too large for a task, else each set's meeting is. Every set is in one tile. A tile compares bitmaps of member parities: bits that differ bound the overlap from above, and only what passes is intersected. Sets
 already in one component aren't compared again, so a group of g copies costs g comparisons, not g^2.
 
 The rest. Pairs with a common prefix member that no tile has seen and whose components differ are compared by bitmap, then
@@ -18,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.llm.components import components
 from webcorpus.llm.words import hashed_texts, mix, ngram_hashes, texts_of
+from webcorpus.operators.joins import broadcast_if_small
 from webcorpus.session import Scratch, written
 
 FREQUENT_LOCAL = 4  # a task reports n-grams that so many of the sets it has seen hold
 FREQUENT_MOST = 200_000  # so many n-grams are put last in the order; a bound of what tasks are sent (1.6 MB)
 FREQUENT_FLUSH = 1_000_000  # n-grams counted together in a task
-TILE_MEMBERS, TILE_NGRAMS = 2_000, 1_000_000  # a larger tile is dealt over several, each with the smallest set
+SHARED_PERCENT = 3  # of a set's members that it has to share within the prefixes
+TILE_MEMBERS, TILE_NGRAMS = 8_000, 2_000_000  # a larger tile is dealt over several, each with the smallest set
 BITMAP_MOST = 1 << 15  # bits of the largest signature
 SURVIVOR_BITS = 1 << 20  # slots of the filter that finds the texts of candidates again
 
@@ -61,6 +64,11 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return -(-percent * (a + b) // (100 + percent))
 
 
+def least_shared(n: int | Column) -> int | Column:
+    """Prefix members that a set of ``n`` shares with any larger or equal one that it links with."""
+    return 1 + (n * SHARED_PERCENT // 100 if isinstance(n, int) else F.floor(n * SHARED_PERCENT / 100))
+
+
 class Tile:
     """Links among the sets of one tile, as a forest."""
 
@@ -159,8 +167,8 @@ def _prefixes(n: int, percent: int, last: np.ndarray):
                     at[at == len(last)] = 0
                     often = last[at] == members
                     members = np.concatenate([members[~often], members[often]])
-                prefix = size - -(-percent * size // 100) + 1
-                out.append((members[:prefix], size, one, size - needed(size, size, percent) + 1))
+                prefix = size - -(-percent * size // 100) + least_shared(size)
+                out.append((members[:prefix], size, one, size - needed(size, size, percent) + least_shared(size)))
             for i in range(0, len(out), 50):
                 some = out[i : i + 50]
                 lengths = [len(x[0]) for x in some]
@@ -293,14 +301,28 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
         prefixes = texts.mapInArrow(*_prefixes(n, percent, last))
         dealt = prefixes.repartition("ngram").sortWithinPartitions("ngram", "n", "set_id")
         shared = scratch.write(dealt.mapInArrow(*_shared(percent)))
+        # A partner may be smaller by the band, and then asks for less.
+        enough = F.count(F.lit(1)) >= least_shared(F.ceil(F.max("n") * percent / 100))
+        able = shared.groupBy("set_id").agg(enough.alias("able")).where("able").select("set_id")
+        dealt = shared.drop("meet").join(broadcast_if_small(able), "set_id", "left_semi").select("ngram", "n", "set_id", "first")
+        dealt = dealt.repartition("ngram").sortWithinPartitions("ngram", "n", "set_id")
+        shared = scratch.write(dealt.mapInArrow(*_shared(percent)))
 
-        # Each set meets others in the tile of the smallest set of most of its shared prefix members, and in its own.
-        met = scratch.write(shared.groupBy("set_id").agg(F.max("n").alias("n"), F.mode("meet", True).alias("tile")))
-        joins = met.where("tile IS NOT NULL").select("tile", "set_id", "n")
-        sizes = joins.groupBy("tile").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("ngrams"))
+        # Each set meets the smallest set of most of its shared prefix members; sets that meet, directly or not, are a tile.
+        met = scratch.write(shared.groupBy("set_id").agg(F.max("n").alias("n"), F.mode("meet", True).alias("meet")))
+        meets = met.where("meet IS NOT NULL")
+        trees = components(meets.select(F.col("set_id").alias("a"), F.col("meet").alias("b")), scratch)
+        trees = trees.union(trees.select("root", "root").distinct()).withColumnRenamed("node", "set_id")
+        placed = met.join(trees, "set_id")
+        fits = (F.count(F.lit(1)) <= TILE_MEMBERS) & (F.sum("n") <= TILE_NGRAMS)
+        fit = placed.groupBy("root").agg(fits.alias("fits"))
+        # Larger tiles are split: by the set that is met, then at random, with that set in each part.
+        tile = F.when(F.col("fits"), F.col("root")).otherwise(F.coalesce("meet", "set_id"))
+        placed = scratch.write(placed.join(fit, "root").select("set_id", "n", tile.alias("tile")))
+        sizes = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("ngrams"))
         parts = F.greatest(F.lit(1), F.ceil(F.col("held") / TILE_MEMBERS), F.ceil(F.col("ngrams") / TILE_NGRAMS))
-        sizes = scratch.write(sizes.select("tile", parts.cast("int").alias("parts")))
-        dealt = joins.join(sizes, "tile").select(
+        sizes = scratch.write(sizes.where("held > 1").select("tile", parts.cast("int").alias("parts")))
+        dealt = placed.join(sizes, "tile").select(
             "tile", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), "set_id"
         )
         centres = sizes.select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
@@ -315,15 +337,15 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
         slots = chosen.select(slot.alias("slot")).distinct()
         again = texts.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
         found = again.mapInArrow(*_members(n)).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-        members = scratch.write(found.join(chosen, ["set_id", "doc_id"], "left_semi").drop("doc_id"))
+        members = scratch.write(found.join(broadcast_if_small(chosen), ["set_id", "doc_id"], "left_semi").drop("doc_id"))
 
-        held = tiles.join(members.select("set_id", "members"), "set_id")
+        held = members.select("set_id", "members").join(broadcast_if_small(tiles), "set_id")
         links = scratch.write(held.groupBy("tile", "part").applyInArrow(*_tile_edges(percent)))
         roots = components(links, scratch)
 
         # Pairs with a common prefix member that met in no tile and are not connected yet.
-        placed = met.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(
-            dealt.select("set_id", F.col("part").alias("part")), "set_id", "left"
+        placed = met.select("set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(
+            dealt, "set_id", "left"
         ).select("set_id", "tile", "part", F.coalesce("root", "set_id").alias("root"))
         here = shared.select("ngram", "n", "set_id", "first").join(placed, "set_id")
         counts = here.groupBy("ngram", "root").agg(F.count(F.lit(1)).alias("held"))
@@ -334,13 +356,15 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
             ~(F.col("x.tile").eqNullSafe(F.col("y.tile")) & F.col("x.part").eqNullSafe(F.col("y.part")))
             | F.col("x.tile").isNull()
         ) & ~F.col("x.tile").eqNullSafe(F.col("y.set_id")) & ~F.col("y.tile").eqNullSafe(F.col("x.set_id"))
+        once = (F.col("y.root") == F.col("y.most")) | (F.col("x.set_id") < F.col("y.set_id"))
         low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
         band = (100 * low >= percent * high) & F.when(F.col("x.n") < F.col("y.n"), F.col("x.first")).when(
             F.col("x.n") > F.col("y.n"), F.col("y.first")).otherwise(F.col("x.first") | F.col("y.first"))
-        pairs = x.join(y, F.col("x.ngram") == F.col("y.ngram")).where(apart & band).select(
-            F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")
+        pairs = x.join(y, F.col("x.ngram") == F.col("y.ngram")).where(apart & band & once).select(
+            F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"), low.alias("low")
         )
-        pairs = scratch.write(pairs.distinct())
+        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"))
+        pairs = scratch.write(pairs.where(F.col("shared") >= least_shared(F.col("low"))).select("a", "b"))
         maps = members.select("set_id", (F.octet_length("members") / 8).cast("int").alias("n"), "bitmap")
         a, b = (maps.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"map_{k}")) for k in "ab")
         bounded = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(*_bounded(percent))
