@@ -20,6 +20,13 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
+# For streams with much state, such as the visited set: state on local disk, changes in the checkpoint folder.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings the operators assume to an existing session."""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from webcorpus.operators import extract
 from webcorpus.plans.findings import page_findings
-from webcorpus.session import new_folder
 
 
 def page_stream(spark: SparkSession, path: str, schema: str, max_files: int = 1000) -> DataFrame:
@@ -20,10 +19,19 @@ def stream_findings(pages: DataFrame, key: str | None = "page_id") -> DataFrame:
     return page_findings(pages, key)
 
 
+def visited_urls(links: DataFrame) -> DataFrame:
+    """Each URL once, at its first sighting: the visited set as streaming state, exact and never forgotten.
+
+    State is one key per URL, dealt by its hash; on a cluster keep it in RocksDB (``session.STREAM_SETTINGS``), so that it
+    lies on disk and not in the heap. Links of one micro-batch are made distinct before the shuffle.
+    """
+    return links.select("url").dropDuplicates(["url"])
+
+
 def first_visits(links: DataFrame, event_time: str, delay: str = "1 day", spread_by: str | None = None) -> DataFrame:
-    """First sighting of each URL: the visited set as streaming state.
+    """First sighting of each URL within a time, for streams whose event time can be trusted; else ``visited_urls``.
 
-    State is bounded: a URL is forgotten once the watermark has passed its sighting by ``delay``, so it may
+    Rows that arrive behind the watermark are dropped: this form is not for sources that replay old captures. State is bounded: a URL is forgotten once the watermark has passed its sighting by ``delay``, so it may
     show up again much later. With ``spread_by`` (a column such as the linking page) sightings are first
     thinned out in 32 slices per URL, so a URL that most pages link to does not meet one task.
     """
@@ -34,18 +42,18 @@ def first_visits(links: DataFrame, event_time: str, delay: str = "1 day", spread
     return links.dropDuplicatesWithinWatermark(["url"])
 
 
-def linked_urls(pages: DataFrame, event_time: str) -> DataFrame:
-    """``page_url, url, event_time`` of all links of a page stream that carries an event time."""
-    return extract.page_links(pages, keep=(event_time,))
+def linked_urls(pages: DataFrame, event_time: str | None = None) -> DataFrame:
+    """``page_url, url`` of all links of a page stream, and its event time if it has one."""
+    return extract.page_links(pages, keep=() if event_time is None else (event_time,))
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process what has arrived, append it to a new table in the shared folder and return that table.
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Process what has arrived, append it to the table in ``folder`` and return that table.
 
-    Progress and table lie in the shared folder, so a restarted run goes on where the last one stopped.
+    Table and progress lie in ``folder``, which the caller names and keeps on storage all executors share: run again with
+    the same folder, the stream goes on where the last run stopped, and rows that were written aren't written again.
     """
     spark = stream.sparkSession
-    folder = new_folder(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -56,8 +64,3 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-
-
-def with_event_time(pages: DataFrame) -> DataFrame:
-    """Event time of pages that were captured one per second in ``page_id`` order."""
-    return pages.withColumn("captured_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
