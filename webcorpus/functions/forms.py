@@ -54,14 +54,16 @@ def _attributes(tag: str, size: int) -> dict[str, str]:
 
 def forms_of(parts) -> list[dict]:
     """Forms of one page from its tag sequence, fields in page order."""
-    forms, open_tags, counts = [], [], {}
+    forms, open_tags, open_forms, counts = [], [], [], {}
     for part in parts:
         closing = part.startswith("/")
         name = re.match(r"/?([^\s/>]*)", part).group(1).lower()
         if closing:
             while counts.get(name):
-                top, _ = open_tags.pop()
+                top = open_tags.pop()
                 counts[top] -= 1
+                if top == "form":
+                    open_forms.pop()
                 if top == name:
                     break
             continue
@@ -80,11 +82,12 @@ def forms_of(parts) -> list[dict]:
             if kind == "input":
                 kind = attributes.get("type", "text")
             field = {"name": attributes.get("name", ""), "type": kind}
-            for _, around in open_tags:
-                if around is not None:
-                    around["inputs"].append(field)
+            for around in open_forms:
+                around["inputs"].append(field)
         if name not in _VOID and name != "textarea" and not part.endswith("/"):
-            open_tags.append((name, form))
+            open_tags.append(name)
+            if form is not None:
+                open_forms.append(form)
             counts[name] = counts.get(name, 0) + 1
     return forms
 

@@ -51,6 +51,7 @@ IDOR_NAMES = (
     r"uid|uuid|pid|cust(omer)?_?id|profile_?id|record_?id"
 )
 ADMIN_NAMES = r"admin|debug|internal|staff|superuser"
+NOT_IN_PARAM_NAMES = r"[^a-zA-Z0-9_\-\[\]]"  # what cleaning takes out of a name
 CSRF_NAMES = r"csrf|token|_token|authenticity"
 
 # Form issue texts, in reporting order.

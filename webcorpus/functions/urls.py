@@ -84,7 +84,7 @@ def is_static_asset(url: Column) -> Column:
 
 
 def clean_param_name(name: Column) -> Column:
-    return F.regexp_replace(name, r"[^a-zA-Z0-9_\-\[\]]", "")
+    return F.regexp_replace(name, P.NOT_IN_PARAM_NAMES, "")
 
 
 def capture_key(url: Column, cut: int | None = None) -> Column:

@@ -5,24 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webcorpus.operators.joins import broadcast_if_small
 
-def js_asset_join(js_urls: DataFrame, js_assets: DataFrame) -> DataFrame:
-    """``source, body`` of each referenced script that was captured with status 200.
+
+def latest(captures: DataFrame, value: str, captured_at: str | None = None) -> DataFrame:
+    """``url, value``, one row per URL: that of the last capture, or the greatest value where no time is known."""
+    order = F.col(value) if captured_at is None else F.struct(captured_at, value)
+    return captures.where(F.col(value).isNotNull()).groupBy("url").agg(F.max_by(value, order).alias(value))
+
+
+def js_asset_join(js_urls: DataFrame, js_assets: DataFrame, captured_at: str | None = None) -> DataFrame:
+    """``source, body`` of each referenced script that was captured with status 200, one row per URL.
 
     The URLs are made distinct before the join: a library that a third of all pages load is one row, and
     its text is scanned once.
     """
     wanted = js_urls.select(F.col("js_url").alias("url")).distinct()
-    captured = js_assets.filter(F.col("status") == 200).select("url", "body")
-    return captured.join(wanted, "url", "left_semi").select(F.col("url").alias("source"), "body")
+    captured = js_assets.filter(F.col("status") == 200).join(broadcast_if_small(wanted), "url", "left_semi")
+    return latest(captured, "body", captured_at).select(F.col("url").alias("source"), "body")
+
+
+def write_by_url(captures: DataFrame, table: str, buckets: int) -> None:
+    """Save captures as a table bucketed and sorted by URL; joins of two such tables by URL move nothing."""
+    captures.write.bucketBy(buckets, "url").sortBy("url").mode("overwrite").saveAsTable(table)
 
 
-def render_overlay(pages: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Pages with their html replaced where a rendered copy of the URL exists.
+def render_overlay(pages: DataFrame, rendered: DataFrame, captured_at: str | None = None) -> DataFrame:
+    """Pages with their html replaced where a rendered copy of the URL exists; the last one if there are several.
 
-    ``rendered`` holds a URL once. Both sides carry html, so tables of this size are best bucketed by URL.
+    Both sides carry html: tables of this size are best written by ``write_by_url``.
     """
-    copies = rendered.select("url", F.col("html").alias("_rendered"))
+    copies = latest(rendered, "html", captured_at).select("url", F.col("html").alias("_rendered"))
     return pages.join(copies, "url", "left").select(
         *[
             F.coalesce("_rendered", "html").alias("html") if name == "html" else F.col(name)

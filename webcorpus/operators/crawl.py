@@ -15,18 +15,23 @@ def crawl_edges(
     allowed: DataFrame,
     robots_files: DataFrame | None = None,
     user_agent: str = robots.USER_AGENT,
+    known_links: DataFrame | None = None,
 ) -> DataFrame:
-    """``src, dst``: links a crawl would follow from captured pages.
+    """``src, dst``: links a crawl would follow from captured pages, and those of ``known_links(page_url, url)``.
 
-    Filters run cheapest first. Pages that robots rules block stay reachable but lead nowhere; that join is
-    made on the links, so the html is never shuffled.
+    Filters run cheapest first. Pages that robots rules block stay reachable but lead nowhere: each source page is judged
+    once, and the html is never shuffled. Sources have no fragment.
     """
-    links = scope.without_static_assets(extract.page_links(pages))
-    edges = scope.in_scope(links, allowed).select(F.col("page_url").alias("src"), F.col("url").alias("dst"))
+    links = extract.page_links(pages).select("page_url", "url")
+    if known_links is not None:
+        links = links.unionByName(known_links.select("page_url", "url"))
+    links = scope.in_scope(scope.without_static_assets(links), allowed)
+    edges = links.select(F.regexp_extract("page_url", "^[^#]*", 0).alias("src"), F.col("url").alias("dst"))
     if robots_files is None:
         return edges
-    judged = robots.robots_allowed(edges, robots_files, user_agent, url="src")
-    return judged.filter("allowed").select("src", "dst")
+    edges = written(edges.distinct(), "links")  # searched once, for the sources and for the join
+    judged = robots.robots_allowed(edges.select("src").distinct(), robots_files, user_agent, url="src")
+    return edges.join(judged.filter("allowed").select("src"), "src", "left_semi")
 
 
 def crawl_depth(edges: DataFrame, start: DataFrame, max_depth: int = 3, enough: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions import patterns, urls
 from webcorpus.operators.joins import broadcast_if_small
+from webcorpus.session import written
 from webcorpus.sources.captures import header
 
 
@@ -20,7 +21,8 @@ def exposed_files(responses: DataFrame, targets: DataFrame) -> DataFrame:
     hits = hits.filter(rest.isin(*["/" + path for path in patterns.WELL_KNOWN_PATHS])).filter(
         F.startswith("url", F.col("_base"))
     )
-    bases = targets.select(urls.base_of(F.col("url")).alias("_base")).distinct()
+    # Stored, since it is measured and then joined.
+    bases = written(targets.select(urls.base_of(F.col("url")).alias("_base")).distinct(), "bases")
     return hits.join(broadcast_if_small(bases), "_base", "left_semi").select(
         "url",
         "status",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webcorpus.functions import urls
 from webcorpus.functions.text_sql import let
 from webcorpus.operators.joins import is_small
+from webcorpus.session import written
 
 
 def valid_targets(targets: DataFrame, url: str = "url") -> DataFrame:
@@ -20,7 +21,7 @@ def valid_targets(targets: DataFrame, url: str = "url") -> DataFrame:
 def rejected_targets(targets: DataFrame, url: str = "url") -> DataFrame:
     """The other targets, in the shape of the error table."""
     return targets.filter(~urls.has_web_scheme(F.col(url))).select(
-        F.col(url).alias("url"), F.lit("URL must start with http:// or https://").alias("error")
+        F.col(url).alias("url"), F.lit("not a web address: scheme is not http or https").alias("error")
     )
 
 
@@ -60,9 +61,10 @@ def in_scope(links: DataFrame, scope: DataFrame, url: str = "url") -> DataFrame:
     A small scope is broadcast and the links stay where they are. A scope past the size bound is matched
     against the distinct hosts first, so that the links are shuffled once and hot hosts count once.
     """
-    domains = widest_domains(scope)
+    small = is_small(scope)  # pruning only makes it smaller
+    domains = widest_domains(scope) if small else written(widest_domains(scope), "scope")
     hosted = links.withColumn("_host", urls.domain(F.col(url)))
-    if is_small(domains):
+    if small:
         matching = hosted.withColumn("_suffix", F.explode(host_suffixes("_host")))
         return matching.join(
             F.broadcast(domains), F.col("_suffix") == F.col("domain"), "left_semi"

@@ -24,13 +24,18 @@ def read_pages(spark: SparkSession, path: str, file_format: str = "parquet", sch
     return reader.load(path)
 
 
+SPREAD_BYTES = 256 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Shuffle a scan that has fewer splits than there are cores: pages are dear to search, cheap to move.
+    """Deal a small scan over the cores: files of one row group can't be split, and pages are dear to search.
 
-    A scan with enough splits, which any large table has, is left alone.
+    Only scans of at most ``SPREAD_BYTES`` of files are ever moved, whatever the number of cores. Larger ones are read where
+    they lie; the number of their splits is set at the read, by ``spark.sql.files.maxPartitionBytes`` and ``minPartitionNum``.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def header(headers: Column, name: str) -> Column:
