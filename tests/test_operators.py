@@ -1,15 +1,15 @@
 """Joins, robots, crawl, reports and streams on small tables with known answers."""
 
-import json
 import random
 from urllib import robotparser
 
 import pytest
 from pyspark.sql import functions as F
 
+from webcorpus.functions import forms
 from webcorpus.operators import assets, crawl, exposure, extract, joins, robots, scope
-from webcorpus.plans import findings, report
-from webcorpus.session import shared_folder
+from webcorpus.plans import findings, report, run
+from webcorpus.session import STREAM_SETTINGS, new_folder, shared_folder
 from webcorpus.sources import captures
 from webcorpus.streaming import ingest
 
@@ -208,20 +208,36 @@ def test_numbering_spreads_a_hot_group(spark, uncoalesced):
 
 def test_json_report_round_trip(spark, tmp_path):
     pages, js = small_site(spark)
-    found = findings.corpus_findings(pages, js)
-    folder = str(tmp_path / "report")
-    report.write_json_report(found, "http://h/x", folder)
-    back = spark.read.json(folder)
-    assert back.count() == found.count()
-    assert {r.target for r in back.select("target").distinct().collect()} == {"http://h/x"}
-    assert (tmp_path / "report" / "target_key=h_x" / "section=forms").is_dir()
-    line = next((tmp_path / "report" / "target_key=h_x" / "section=forms").glob("*.json")).read_text().splitlines()[0]
-    assert json.loads(line)["form"]["inputs"] == [{"name": "admin", "type": "text"}]
+    exposed = spark.createDataFrame([("http://h/.env", 200, "7")], "url string, status int, content_length string")
+    errors = spark.createDataFrame([("http://h/e", "timeout")], "url string, error string")
+    found = findings.corpus_findings(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 10)), js, exposed, errors)
+    for _ in range(2):  # writing a run again replaces it
+        path = report.write_json_report(found, "http://h/x", str(tmp_path / "report"), "a")
+    report.write_json_report(found, "http://h/x", str(tmp_path / "report"), "b")
+    assert path == str(tmp_path / "report" / "target_key=h_x" / "run=a")
+    rows = [r.asDict(recursive=True) for r in spark.read.json(path).collect()]
+    of = lambda section, *names: sorted(tuple(r[n] for n in names) for r in rows if r["section"] == section)
+    assert {r["target"] for r in rows} == {"http://h/x"}
+    assert of("emails", "value") == [("a@b.cc",)]
+    assert of("internal_urls", "value") == [("http://h/?id=1",), ("http://h/?id=2",), ("http://h/empty?x=1",), ("http://h/none",)]
+    assert of("js_files", "value") == [("http://h/j.js",)]
+    assert of("js_endpoint_findings", "category", "value") == [("api_paths", "/api/x"), ("api_paths", "/v1/y")]
+    assert of("params", "value") == [("admin",), ("id",)]
+    assert of("idor_candidates", "value") == [("id",)] and of("admin_param_candidates", "value") == [("admin",)]
+    form = ("http://h/?id=1", "http://h/?id=1", "POST")
+    assert of("forms", "found_on", "action", "method") == [form] * 2
+    assert [r["inputs"] for r in rows if r["section"] == "forms"] == [[{"name": "admin", "type": "text"}]] * 2
+    assert of("form_risk_flags", "found_on", "action", "method") == [form] * 2
+    assert of("comments", "source", "comment")[0] == ("http://h/?id=1", "comment one")
+    assert of("interesting_files", "url", "status", "content_length") == [("http://h/.env", 200, "7")]
+    assert of("errors", "url", "error") == [("http://h/e", "timeout")]
+    assert [r["source"] for r in rows if r["section"] == "secrets"] == ["http://h/j.js"]
+    assert len(rows) == spark.read.json(str(tmp_path / "report" / "target_key=h_x" / "run=b")).count()
 
 
 def test_stream_equals_batch(spark, sf):
     stream = ingest.page_stream(spark, f"{sf}/page[s].parquet", captures.PAGE_SCHEMA)
-    stored = ingest.run_available(ingest.stream_findings(stream), "test-findings")
+    stored = ingest.run_available(ingest.stream_findings(stream), new_folder(spark, "test-findings"))
     batch = findings.page_findings(spark.read.parquet(f"{sf}/pages.parquet"))
     columns = ["section", "category", "source", "page_key", "pos", "value"]
     key = lambda df: sorted(map(str, df.select(*columns).collect()))
@@ -234,7 +250,7 @@ def test_visits_inside_the_watermark_are_dropped(spark, tmp_path):
         frame = spark.createDataFrame(rows, "url string, s long").select("url", F.timestamp_seconds("s").alias("at"))
         frame.coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema("url string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder))
-    stored = ingest.run_available(ingest.first_visits(stream, "at", "1 minute").select("url"), "test-visits")
+    stored = ingest.run_available(ingest.first_visits(stream, "at", "1 minute").select("url"), str(tmp_path / "out"))
     # "u" comes back long after the watermark passed it; a row older than the watermark is not let in. Both
     # take effect one batch after the watermark has moved.
     assert sorted(r.url for r in stored.collect()) == ["u", "u", "v", "w", "x"]
@@ -245,10 +261,73 @@ def test_spread_visits_give_the_same_set(spark, tmp_path):
     frame = spark.createDataFrame(rows, "page_url string, url string, s long")
     frame.select("page_url", "url", F.timestamp_seconds("s").alias("at")).repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("page_url string, url string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stored = ingest.run_available(ingest.first_visits(stream, "at", "1 day", spread_by="page_url").select("url"), "test-spread")
+    stored = ingest.run_available(ingest.first_visits(stream, "at", "1 day", spread_by="page_url").select("url"), str(tmp_path / "out"))
     assert sorted(r.url for r in stored.collect()) == sorted({u for _, u, _ in rows})
 
 
+def test_visited_urls_are_exact_and_go_on_after_a_stop(spark, tmp_path):
+    """Far apart, out of order, over several triggers: nothing is forgotten or let in twice, nor after a restart."""
+    for key, value in STREAM_SETTINGS.items():
+        spark.conf.set(key, value)
+    rng = random.Random(8)
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "url string").coalesce(1)
+    old = [f"u{i}" for i in range(200)]
+    for k in range(4):
+        frame(rng.sample(old, 200 if k else 150)).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: ingest.visited_urls(
+        spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    )
+    try:
+        first = ingest.run_available(stream(), str(tmp_path / "out"))
+        assert sorted(r.url for r in first.collect()) == sorted(old)
+        frame(["u3", "new", "new"]).write.mode("append").parquet(str(tmp_path / "in"))
+        again = ingest.run_available(stream(), str(tmp_path / "out"))
+        assert sorted(r.url for r in again.collect()) == sorted([*old, "new"])
+    finally:
+        for key in STREAM_SETTINGS:
+            spark.conf.unset(key)
+
+
+def test_a_url_captured_twice_counts_once(spark):
+    js = spark.createDataFrame([("p", "a")], "page_url string, js_url string")
+    stored = spark.createDataFrame([("a", 200, "old", 2), ("a", 200, "new", 5), ("a", 404, "gone", 9)], "url string, status int, body string, at int")
+    assert [tuple(r) for r in assets.js_asset_join(js, stored, "at").collect()] == [("a", "new")]
+    assert [tuple(r) for r in assets.js_asset_join(js, stored).collect()] == [("a", "old")]
+    pages = spark.createDataFrame([(1, "u", "plain")], "page_id int, url string, html string")
+    copies = spark.createDataFrame([("u", "x", 1), ("u", "a", 2)], "url string, html string, at int")
+    assert [r.html for r in assets.render_overlay(pages, copies, "at").collect()] == ["a"]
+
+
+def test_fields_of_unclosed_tags_take_linear_time():
+    import time
+
+    start = time.process_time()
+    found = forms.forms_of(["form"] + ["b"] * 100_000 + ["input name=x"] * 100_000)
+    assert len(found[0]["inputs"]) == 100_000 and time.process_time() - start < 10
+
+
+def test_large_scans_are_not_spread(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert captures.spread(pages).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(captures, "SPREAD_BYTES", 10)
+    assert captures.spread(pages).rdd.getNumPartitions() == pages.rdd.getNumPartitions()
+
+
+def test_crawls_past_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "measure", lambda df: joins.Size(df.count(), False))
+    frame = spark.createDataFrame([(f"n{i}", f"n{(i * k + 1) % 50}") for i in range(50) for k in (2, 3)], "src string, dst string")
+    got = {r.url: r.depth for r in crawl.crawl_depth(frame, urls_frame(spark, ["n0"]), max_depth=4).collect()}
+    assert got == brute_force_depths([tuple(r) for r in frame.collect()], "n0", 4)
+
+
+def test_run_reaches_only_what_the_crawl_visits(spark):
+    pages = [(1, "http://h/#top", "<a href='/a'>a@b.cc"), (2, "http://h/a", "<a href='/c'>"), (3, "http://h/far", "x@y.zz"), (4, "http://h/c", "c@c.cc")]
+    frame = spark.createDataFrame([(*p, 200, None) for p in pages], "page_id long, url string, html string, status int, headers map<string,string>")
+    found = run.full_run(frame, domains(spark, "h"), urls_frame(spark, ["http://h/"]), max_depth=3, max_pages=2)
+    assert {r.value for r in found.filter("section = 'internal_urls'").collect()} == {"http://h/#top", "http://h/a"}
+    assert {r.value for r in found.filter("section = 'emails'").collect()} == {"a@b.cc"}
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 

@@ -4,12 +4,15 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from webcorpus.catalog.oracles import ORACLES
+from webcorpus.catalog.queries import QUERIES
 
-NAMES = sorted(entry_points.queries())
+NAMES = sorted(QUERIES)
 
 
 def test_every_query_has_a_counterpart():
-    assert NAMES == sorted(entry_points.oracle_sql())
+    assert NAMES == sorted(ORACLES)
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.fixture(scope="module")

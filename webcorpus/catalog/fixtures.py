@@ -50,7 +50,8 @@ FROM pages""",
 SELECT url, CAST(CASE WHEN mark < '6' THEN 200 WHEN mark < 'a' THEN 404 WHEN mark = 'a' THEN 301 ELSE 403 END AS INT) AS status,
   CASE WHEN substr(md5(url), 2, 1) < '8' THEN CAST(length(url) AS STRING) END AS content_length
 FROM (SELECT url, substr(md5(url), 1, 1) AS mark
-  FROM (SELECT concat(base, '/', path) AS url FROM (SELECT base, @each({_PATHS}) AS path FROM bases) AS p) AS u) AS r""",
+  FROM (SELECT concat(base, '/', path) AS url FROM (SELECT base, @each({_PATHS}) AS path
+    FROM (SELECT base FROM bases UNION ALL SELECT concat(base, '.unlisted.example') AS base FROM bases) AS b) AS p) AS u) AS r""",
     "robots": """
 SELECT base, CAST(CASE mark WHEN '7' THEN 404 WHEN '8' THEN 401 WHEN '9' THEN 500 ELSE 200 END AS INT) AS http_status,
   CASE WHEN mark < '4' THEN concat('User-agent: *', chr(10), 'Disallow: /en/', chr(10), 'Allow: /en/7', chr(10))
@@ -66,6 +67,7 @@ UNION ALL SELECT url, (page_id * 3 + 2) % (SELECT count(*) FROM pages) AS next_i
     "edges": "SELECT DISTINCT h.url AS src, n.url AS dst FROM hops AS h JOIN nodes AS n ON n.page_id = h.next_id",
 }
 
+TARGET = "https://example.com/"
 SCOPE = ("example.com", "ththan.example.net", "blog.ththan.example.net")
 
 

@@ -222,10 +222,10 @@ _PARTS = {
         SELECT page_id, name FROM (SELECT DISTINCT page_id, name FROM form_names)""",
     "exposed": f"""SELECT url, status, coalesce(content_length, '?') AS content_length FROM responses
         WHERE status = 200 AND regexp_extract(url, '^(https?://[^/?#]*)', 1) IN
-            (SELECT regexp_extract(url, '^(https?://[^/?#]*)', 1) FROM pages WHERE url LIKE 'https:%')
+            (SELECT regexp_extract(url, '^(https?://[^/?#]*)', 1) FROM pages)
         AND regexp_extract(url, '^https?://[^/?#]*/(.*)$', 1) IN ({', '.join(_q(p) for p in P.WELL_KNOWN_PATHS)})""",
     "last_errors": """SELECT url, arg_max(error, (ts, error)) AS error FROM fetch_log WHERE error IS NOT NULL GROUP BY url""",
-    "once": """SELECT 'internal_urls' AS section, '' AS category, url AS value, count(*) AS n FROM pages GROUP BY url
+    "once": """SELECT 'internal_urls' AS section, '' AS category, url AS value, count(*) AS n FROM page GROUP BY url
         UNION ALL SELECT 'js_files', '', js_url, count(*) FROM js GROUP BY js_url
         UNION ALL SELECT 'js_endpoint_findings', category, value, count(*) FROM (
             SELECT DISTINCT page_id, source, category, value FROM endpoints) GROUP BY category, value
@@ -291,8 +291,50 @@ _IN_SCOPE = " OR ".join(f"{_HOST} = '{d}' OR {_HOST} LIKE '%.{d}'" for d in SCOP
 _STATIC = "|".join(s[1:] for s in P.STATIC_SUFFIXES)
 _ESCAPE = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _KEY = "replace(replace(replace(url, 'https://', ''), 'http://', ''), '/', '_')"
+_SUMMARY = """SELECT m.metric, CAST(coalesce(t.n, 0) AS BIGINT) AS value FROM (VALUES
+    ('internal_urls', 'internal_urls'), ('js_files', 'js_files'),
+    ('api_paths', 'js_endpoint_findings.api_paths'), ('full_urls', 'js_endpoint_findings.full_urls'),
+    ('forms', 'forms'), ('risky_forms', 'form_risk_flags'), ('emails', 'emails'), ('params', 'params'),
+    ('idor_candidates', 'idor_candidates'), ('secrets', 'secrets'), ('interesting_files', 'interesting_files')
+    ) AS m(metric, section) LEFT JOIN totals AS t ON t.section = m.section"""
+_NOT_STATIC = f"NOT regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]*([^?#;]*)', 1)), '\\.({_STATIC})$')"
+_ROBOTS = """CASE
+            WHEN r.base IS NULL THEN true
+            WHEN r.http_status IN (401, 403) THEN false
+            WHEN r.http_status BETWEEN 400 AND 499 THEN true
+            WHEN r.http_status >= 500 THEN false
+            WHEN r.body LIKE '%Disallow: /en/%' THEN NOT p.path LIKE '/en/%'
+            WHEN r.body LIKE '%other%' THEN p.path LIKE '/de/%' OR NOT (p.path LIKE '/d%' OR p.path LIKE '/fr/5%')
+            ELSE true END AS allowed
+        FROM (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS base,
+            regexp_extract(url, '^https?://[^/?#]*(.*)$', 1) AS path FROM pages) AS p
+        LEFT JOIN robots AS r ON r.base = p.base"""
+
+
+def _followed(in_scope: str) -> str:
+    """Links a crawl follows: those of decorated pages and the derived graph, from pages that robots rules allow."""
+    return f"""SELECT DISTINCT src, url AS dst FROM (
+            SELECT regexp_extract(page_url, '^[^#]*') AS src, url FROM page_links UNION ALL SELECT src, dst FROM edges) AS l
+        WHERE {_NOT_STATIC} AND ({in_scope}) AND src IN (
+            SELECT regexp_extract(url, '^[^#]*') FROM (SELECT p.url, {_ROBOTS}) AS judged WHERE allowed)"""
+
+
+def _full_run() -> str:
+    """Summary of the pages that a capped crawl over example.com reaches, with rendered copies and gate."""
+    followed = _oracle(_followed(f"{_HOST} = 'example.com' OR {_HOST} LIKE '%.example.com'"), _DECO)
+    walked = f"""WITH RECURSIVE followed AS ({followed}),
+        walk(url, depth) AS (SELECT regexp_extract(url, '^[^#]*'), 0 FROM pages WHERE page_id % 50 = 0
+        UNION SELECT f.dst, w.depth + 1 FROM walk AS w JOIN followed AS f ON f.src = w.url WHERE w.depth < 6)
+        SELECT url FROM (SELECT url, min(depth) AS depth FROM walk GROUP BY url) ORDER BY depth, url LIMIT 40"""
+    reached = f"""(SELECT d.page_id, d.url, d.status, d.content_type, coalesce(r.html, d.html) AS html
+        FROM deco AS d LEFT JOIN rendered AS r ON r.url = d.url
+        WHERE regexp_extract(d.url, '^[^#]*') IN ({walked})) AS reached"""
+    whole = _oracle(_SUMMARY, _gated(reached))
+    return whole.replace("', 1) FROM pages)", "', 1) FROM page)")  # well-known paths of reached hosts only
+
+
 _CRAWL = """SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url"""
-_WALK = """walk(url, depth) AS (SELECT url, 0 FROM nodes WHERE page_id = 0
+_WALK = """walk(url, depth) AS (SELECT url, 0 FROM nodes WHERE page_id % 50 = 0
     UNION SELECT e.dst, w.depth + 1 FROM walk AS w JOIN edges AS e ON e.src = w.url WHERE w.depth < 6)"""
 
 
@@ -315,7 +357,11 @@ ORACLES = {
         FROM pages""",
     "url_base": "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS base FROM pages",
     "target_key": f"SELECT page_id, {_KEY} AS target_key, left({_KEY}, 150) AS screenshot_key FROM pages",
-    "clean_params": r"SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_\-\[\]]', '', 'g') AS cleaned FROM pages",
+    "clean_params": _oracle(
+        r"SELECT source, name, regexp_replace(name, '[^a-zA-Z0-9_\-\[\]]', '', 'g') AS cleaned FROM form_names"
+        r" UNION ALL SELECT source, name, regexp_replace(name, '[^a-zA-Z0-9_\-\[\]]', '', 'g') FROM url_params",
+        _DECO,
+    ),
     "resolved_links": _oracle(f"SELECT page_url, pos, tag, href, {_resolved('href')} AS url FROM links", _DECO),
     "internal_urls": "SELECT DISTINCT url FROM pages",
     "page_links": _oracle("SELECT page_url, url FROM page_links", _RAW),
@@ -354,7 +400,7 @@ ORACLES = {
         _DECO,
     ),
     "rejected_targets": _oracle(
-        f"""SELECT url, 'URL must start with http:// or https://' AS error
+        f"""SELECT url, 'not a web address: scheme is not http or https' AS error
         FROM (SELECT {_resolved('href')} AS url FROM links) WHERE NOT (url LIKE 'http:%' OR url LIKE 'https:%')""",
         _DECO,
     ),
@@ -364,19 +410,7 @@ ORACLES = {
         _RAW,
     ),
     "exposed_files": _oracle("SELECT url, status, content_length FROM exposed"),
-    "robots_allowed": _oracle(
-        """SELECT p.page_id, p.url, CASE
-            WHEN r.base IS NULL THEN true
-            WHEN r.http_status IN (401, 403) THEN false
-            WHEN r.http_status BETWEEN 400 AND 499 THEN true
-            WHEN r.http_status >= 500 THEN false
-            WHEN r.body LIKE '%Disallow: /en/%' THEN NOT p.path LIKE '/en/%'
-            WHEN r.body LIKE '%other%' THEN p.path LIKE '/de/%' OR NOT (p.path LIKE '/d%' OR p.path LIKE '/fr/5%')
-            ELSE true END AS allowed
-        FROM (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS base,
-            regexp_extract(url, '^https?://[^/?#]*(.*)$', 1) AS path FROM pages) AS p
-        LEFT JOIN robots AS r ON r.base = p.base"""
-    ),
+    "robots_allowed": _oracle(f"SELECT p.page_id, p.url, {_ROBOTS}"),
     "crawl_depth": _crawl_oracle(_CRAWL),
     "crawl_capped": _crawl_oracle(f"SELECT url, depth FROM ({_CRAWL}) ORDER BY depth, url LIMIT 40"),
     "param_flags": _oracle(
@@ -389,15 +423,23 @@ ORACLES = {
         "SELECT category, count(DISTINCT value) AS n_values FROM endpoints GROUP BY category", _GATED_DECO
     ),
     "findings_doc": _oracle("SELECT section, n FROM totals", _GATED_DECO),
-    "summary_counts": _oracle(
-        """SELECT m.metric, CAST(coalesce(t.n, 0) AS BIGINT) AS value FROM (VALUES
-            ('internal_urls', 'internal_urls'), ('js_files', 'js_files'),
-            ('api_paths', 'js_endpoint_findings.api_paths'), ('full_urls', 'js_endpoint_findings.full_urls'),
-            ('forms', 'forms'), ('risky_forms', 'form_risk_flags'), ('emails', 'emails'), ('params', 'params'),
-            ('idor_candidates', 'idor_candidates'), ('secrets', 'secrets'), ('interesting_files', 'interesting_files')
-        ) AS m(metric, section) LEFT JOIN totals AS t ON t.section = m.section""",
+    "doc_sets": _oracle(
+        f"""SELECT section, category, value FROM once
+        UNION ALL SELECT 'idor_candidates', '', name FROM (SELECT DISTINCT name FROM names) WHERE {_IDOR}
+        UNION ALL SELECT 'admin_param_candidates', '', name FROM (SELECT DISTINCT name FROM names) WHERE {_ADMIN}""",
         _GATED_DECO,
     ),
+    "doc_forms": _oracle(
+        "SELECT page_id AS page_key, found_on, action, method, n_inputs, csrf_protected FROM form_facts", _GATED_DECO
+    ),
+    "doc_flags": _oracle("SELECT page_id AS page_key, found_on, action, method, issues FROM flags", _GATED_DECO),
+    "doc_secrets": _oracle("SELECT source, type, confidence, value_preview FROM secrets", _GATED_DECO),
+    "doc_comments": _oracle("SELECT page_id AS page_key, source, comment FROM comments", _GATED_DECO),
+    "doc_files": _oracle("SELECT url, CAST(status AS INTEGER) AS status, content_length FROM exposed"),
+    "doc_errors": _oracle("SELECT url, error FROM last_errors"),
+    "crawl_edges": _oracle(_followed(_IN_SCOPE), _DECO),
+    "full_run_summary": _full_run(),
+    "summary_counts": _oracle(_SUMMARY, _GATED_DECO),
     "report_sections": _oracle("SELECT section, pos, item FROM lines", _GATED_DECO),
     "section_counts": _oracle("SELECT section, count(*) AS n FROM items GROUP BY section", _GATED_DECO),
     "escaped_sections": _oracle(

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.catalog.fixtures import SCOPE, table
+from webcorpus.catalog.fixtures import SCOPE, TARGET, table
 from webcorpus.functions import markup, patterns, urls
 from webcorpus.operators import assets, classify, crawl, exposure, extract, robots, scope
-from webcorpus.plans import findings, report
+from webcorpus.plans import findings, report, run
+from webcorpus.session import new_folder
 from webcorpus.sources import captures
 from webcorpus.streaming import ingest
 
@@ -59,8 +60,7 @@ def _exposed(spark, sf_dir):
         "url", "status",
         F.when(F.col("content_length").isNotNull(), F.create_map(F.lit("Content-Length"), F.col("content_length"))).alias("headers"),
     )
-    targets = _pages(spark, sf_dir).filter(F.startswith("url", F.lit("https:"))).select("url")
-    return exposure.exposed_files(responses, targets)
+    return exposure.exposed_files(responses, _pages(spark, sf_dir).select("url"))
 
 
 def _errors(spark, sf_dir):
@@ -139,7 +139,9 @@ def target_key(spark, sf_dir):
 
 @query
 def clean_params(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", urls.clean_param_name(F.col("url")).alias("cleaned"))
+    pages = _deco(spark, sf_dir)
+    names = extract.url_params(pages).unionByName(extract.form_params(extract.forms(pages)))
+    return names.select("source", "name", urls.clean_param_name(F.col("name")).alias("cleaned"))
 
 
 @query
@@ -288,8 +290,23 @@ def robots_allowed(spark, sf_dir):
 # --- Link graph --------------------------------------------------------------------------------------
 
 
+CAP = 40
+
+
 def _start(spark, sf_dir):
-    return table(spark, sf_dir, "nodes").filter("page_id = 0").select("url")
+    """Starts all over the graph, so that what is reached grows with the table."""
+    return table(spark, sf_dir, "nodes").filter("page_id % 50 = 0").select("url")
+
+
+def _known_links(spark, sf_dir):
+    return table(spark, sf_dir, "edges").select(F.col("src").alias("page_url"), F.col("dst").alias("url"))
+
+
+@query
+def crawl_edges(spark, sf_dir):
+    return crawl.crawl_edges(
+        _deco(spark, sf_dir), _scope(spark), table(spark, sf_dir, "robots"), known_links=_known_links(spark, sf_dir)
+    )
 
 
 @query
@@ -299,7 +316,7 @@ def crawl_depth(spark, sf_dir):
 
 @query
 def crawl_capped(spark, sf_dir):
-    return crawl.crawl_capped(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, max_pages=40)
+    return crawl.crawl_capped(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, max_pages=CAP)
 
 
 # --- Classification ----------------------------------------------------------------------------------
@@ -342,6 +359,73 @@ def findings_doc(spark, sf_dir):
     return findings.findings_doc(_findings(spark, sf_dir))
 
 
+def _document(spark, sf_dir):
+    return report.document_rows(_findings(spark, sf_dir))
+
+
+@query
+def doc_sets(spark, sf_dir):
+    return _document(spark, sf_dir).filter(F.col("value").isNotNull()).select("section", "category", "value")
+
+
+@query
+def doc_forms(spark, sf_dir):
+    return _document(spark, sf_dir).filter("section = 'forms'").select(
+        "page_key", "found_on", "action", "method", F.size("inputs").alias("n_inputs"), "csrf_protected"
+    )
+
+
+@query
+def doc_flags(spark, sf_dir):
+    return _document(spark, sf_dir).filter("section = 'form_risk_flags'").select(
+        "page_key", "found_on", "action", "method", F.array_join("issues", ", ").alias("issues")
+    )
+
+
+@query
+def doc_secrets(spark, sf_dir):
+    found = _document(spark, sf_dir).filter("section = 'secrets'")
+    return found.select("source", "type", "confidence", "value_preview")
+
+
+@query
+def doc_comments(spark, sf_dir):
+    return _document(spark, sf_dir).filter("section = 'comments'").select("page_key", "source", "comment")
+
+
+@query
+def doc_files(spark, sf_dir):
+    return _document(spark, sf_dir).filter("section = 'interesting_files'").select("url", "status", "content_length")
+
+
+@query
+def doc_errors(spark, sf_dir):
+    return _document(spark, sf_dir).filter("section = 'errors'").select("url", "error")
+
+
+@query
+def full_run_summary(spark, sf_dir):
+    """A run over one target's domain: crawl, rendered copies, gate and findings of the pages reached."""
+    responses = table(spark, sf_dir, "responses").select(
+        "url", "status",
+        F.when(F.col("content_length").isNotNull(), F.create_map(F.lit("Content-Length"), F.col("content_length"))).alias("headers"),
+    )
+    found = run.full_run(
+        _captures(spark, sf_dir),
+        scope.allowed_domains(spark, TARGET),
+        _start(spark, sf_dir),
+        max_depth=6,
+        max_pages=CAP,
+        robots_files=table(spark, sf_dir, "robots"),
+        known_links=_known_links(spark, sf_dir),
+        rendered=table(spark, sf_dir, "rendered"),
+        js_assets=table(spark, sf_dir, "js_assets"),
+        responses=responses,
+        errors=_errors(spark, sf_dir),
+    )
+    return findings.summary_counts(found, files_checked=True)
+
+
 @query
 def summary_counts(spark, sf_dir):
     return findings.summary_counts(_findings(spark, sf_dir), files_checked=True)
@@ -376,14 +460,13 @@ def _page_stream(spark, sf_dir):
 
 @query
 def stream_findings(spark, sf_dir):
-    stored = ingest.run_available(ingest.stream_findings(_page_stream(spark, sf_dir)), "stream-findings")
+    stored = ingest.run_available(
+        ingest.stream_findings(_page_stream(spark, sf_dir)), new_folder(spark, "stream-findings")
+    )
     return stored.select("section", "source", "page_key", "value")
 
 
 @query
 def stream_visited(spark, sf_dir):
-    pages = ingest.with_event_time(_page_stream(spark, sf_dir))
-    links = ingest.first_visits(
-        ingest.linked_urls(pages, "captured_at"), "captured_at", "30 days", spread_by="page_url"
-    )
-    return ingest.run_available(links.select("url"), "stream-visited")
+    links = ingest.linked_urls(_page_stream(spark, sf_dir))
+    return ingest.run_available(ingest.visited_urls(links), new_folder(spark, "stream-visited"))

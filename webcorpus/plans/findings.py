@@ -15,7 +15,7 @@ from webcorpus.functions.text_sql import quoted
 from webcorpus.operators import assets
 from webcorpus.session import written
 
-# Sections whose values are a set over the whole corpus; the others are bags.
+# Section names. Those whose values are a set over the whole corpus; the others are bags.
 SET_SECTIONS = ("internal_urls", "js_files", "js_endpoint_findings", "emails", "params")
 
 _FORM = "struct<method:string,inputs:array<struct<name:string,type:string>>,csrf_protected:boolean>"
@@ -52,7 +52,7 @@ def _page_sections() -> list[str]:
     found += [
         f"transform(forms, (f, i) -> {_finding('forms', 'f.action', 'i', form=form)})",
         "transform(filter(transform(forms, (f, i) -> struct(i AS i, f AS f)), e -> size(e.f.issues) > 0), e -> "
-        + _finding("form_risk_flags", "e.f.action", "e.i", issues="e.f.issues")
+        + _finding("form_risk_flags", "e.f.action", "e.i", form=form.replace("f.", "e.f."), issues="e.f.issues")
         + ")",
         f"transform(form_params, (v, i) -> {_finding('params', 'v', 'i')})",
         f"transform(html_secrets, (h, i) -> {_secret('h', 'url', 'i')})",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.functions import markup, texts, urls
+from webcorpus.operators.joins import broadcast_if_small
 from webcorpus.plans.findings import SET_SECTIONS, distinct_findings
 from webcorpus.session import written
 
@@ -100,8 +101,8 @@ def numbered(rows: DataFrame, group: str, order: list[str], out: str = "pos") ->
     counts = laid_out.groupBy(group, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    # At most partitions + groups rows, each a few bytes.
-    placed = laid_out.join(F.broadcast(offsets), [group, "_part"])
+    # Partitions + groups rows: few for sections, as many as the data has for other groups.
+    placed = laid_out.join(broadcast_if_small(offsets), [group, "_part"])
     return placed.withColumn(out, F.col("_before") + F.col("_id") - F.col("_first")).drop(
         "_part", "_id", "_first", "_before"
     )
@@ -123,24 +124,67 @@ def escaped_sections(sections: DataFrame) -> DataFrame:
     return sections.withColumn("item", markup.escape_html(F.col("item")))
 
 
+def document_rows(findings: DataFrame) -> DataFrame:
+    """The content of the findings document, one typed row per entry; fields that a section lacks are null.
+
+    Set sections hold every value once, with the two derived from parameter names; bag sections hold every finding. Status
+    is 200 for files because nothing else counts as found.
+    """
+    is_param = F.col("section") == "params"
+    names = F.array_compact(
+        F.array(
+            F.col("section"),
+            F.when(is_param & texts.is_idor_name(F.col("value")), "idor_candidates"),
+            F.when(is_param & texts.is_admin_name(F.col("value")), "admin_param_candidates"),
+        )
+    )
+    sets = distinct_findings(findings).select(F.explode(names).alias("section"), "category", "value")
+    section, value = F.col("section"), F.col("value")
+    only = lambda name, column: F.when(section == name, column)
+    form = section.isin("forms", "form_risk_flags")
+    bags = findings.filter(~section.isin(*SET_SECTIONS)).select(
+        "section", "page_key", "pos",
+        F.when(form, F.col("source")).alias("found_on"),
+        F.when(form, value).alias("action"),
+        F.when(form, F.col("form.method")).alias("method"),
+        only("forms", F.col("form.inputs")).alias("inputs"),
+        only("forms", F.col("form.csrf_protected")).alias("csrf_protected"),
+        only("form_risk_flags", F.col("issues")).alias("issues"),
+        only("secrets", F.col("category")).alias("type"),
+        only("secrets", F.col("confidence")).alias("confidence"),
+        only("secrets", value).alias("value_preview"),
+        F.when(section.isin("secrets", "comments"), F.col("source")).alias("source"),
+        only("comments", value).alias("comment"),
+        F.when(section.isin("interesting_files", "errors"), value).alias("url"),
+        only("interesting_files", F.lit(200)).alias("status"),
+        only("interesting_files", F.col("category")).alias("content_length"),
+        only("errors", F.col("category")).alias("error"),
+    )
+    return sets.unionByName(bags, allowMissingColumns=True)
+
+
 def report_rows(findings: DataFrame, target: str) -> DataFrame:
-    """The findings with their envelope: target, its file-name key and the time of generation."""
-    return findings.select(
+    """The document's rows with their envelope: target, its file-name key and the time of generation."""
+    rows = document_rows(findings)
+    return rows.select(
         F.lit(target).alias("target"),
         urls.capture_key(F.lit(target)).alias("target_key"),
         F.current_timestamp().alias("generated_at"),
-        *findings.columns,
+        *rows.columns,
     )
 
 
-def write_json_report(findings: DataFrame, target: str, folder: str) -> None:
-    """Write the report as JSON lines, one folder per target and section, sorted within files.
+def write_json_report(findings: DataFrame, target: str, folder: str, run: str) -> str:
+    """Write the report as JSON lines, one folder per target, run and section, sorted within files; returns its path.
 
     One document per target would hold a whole section in one task; lines keep the same content and order and
-    can be written and read in parallel.
+    can be written and read in parallel. ``run`` names the run, for instance by its time: writing a run again replaces it, and
+    other runs stay.
     """
     rows = report_rows(findings, target)
-    ordered = rows.repartitionByRange("section", "category", "source", "page_key", "pos", "value")
-    ordered.sortWithinPartitions("section", "category", "source", "page_key", "pos", "value").write.mode(
-        "append"
-    ).partitionBy("target_key", "section").json(folder)
+    key = findings.sparkSession.range(1).select(urls.capture_key(F.lit(target)).alias("key")).first().key
+    path = f"{folder}/target_key={key}/run={run}"
+    order = ("section", "category", "value", "source", "found_on", "url", "page_key", "pos")
+    ordered = rows.drop("target_key").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.write.mode("overwrite").partitionBy("section").json(path)
+    return path
