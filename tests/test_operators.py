@@ -345,5 +345,7 @@ def test_plans(spark, sf):
     assert "ReadSchema: struct<url:string>" in plan_of(extract.internal_urls(pages))
     summary = plan_of(findings.summary_counts(findings.corpus_findings(pages)))
     assert summary.count("FileScan") == 1 and "NestedLoop" not in summary and "Cartesian" not in summary
+    python = [line for line in plan_of(findings.page_findings(pages)).split("\n") if "ArrowEvalPython" in line or "Generate" in line]
+    assert len(python) == 3 and "ArrowEvalPython" in python[1]  # between two generators: its rows are findings, without html
     scoped = plan_of(scope.in_scope(extract.page_links(pages), domains(spark, "example.com")))
     assert "BroadcastHashJoin" in scoped and "NestedLoop" not in scoped

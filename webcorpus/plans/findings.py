@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcorpus.functions import extracted, forms, patterns, texts, urls
+from webcorpus.functions import extracted, forms, markup, patterns, texts, urls
 from webcorpus.functions.text_sql import quoted
 from webcorpus.operators import assets
 from webcorpus.session import written
@@ -31,39 +31,53 @@ def _finding(
     confidence: str = "cast(NULL AS string)",
     form: str = f"cast(NULL AS {_FORM})",
     issues: str = "cast(NULL AS array<string>)",
+    parts: str | None = None,
 ) -> str:
     return f"""struct({quoted(section)} AS section, {category} AS category, {source} AS source, {pos} AS pos,
-        {value} AS value, {confidence} AS confidence, {form} AS form, {issues} AS issues)"""
+        {value} AS value, {confidence} AS confidence, {form} AS form, {issues} AS issues{parts or ''})"""
 
 
-def _secret(hit: str, source: str, pos: str) -> str:
+def _secret(hit: str, source: str, pos: str, parts: str | None = None) -> str:
     return _finding(
-        "secrets", f"{hit}.value_preview", pos, source, f"{hit}.type", f"{hit}.confidence"
+        "secrets", f"{hit}.value_preview", pos, source, f"{hit}.type", f"{hit}.confidence", parts=parts
     )
 
 
+_NO_PARTS = ", cast(NULL AS array<string>) AS parts"
+
+
 def _page_sections() -> list[str]:
-    """SQL of one array of findings per extractor, over the columns of a prepared page."""
+    """SQL of one array of findings per extractor, over the columns of a prepared page; the forms as their tags."""
     simple = [("js_files", "js_urls"), ("emails", "emails"), ("comments", "comments"), ("params", "url_params")]
     found = [
-        f"transform({column}, (v, i) -> {_finding(section, 'v', 'i')})" for section, column in simple
+        f"transform({column}, (v, i) -> {_finding(section, 'v', 'i', parts=_NO_PARTS)})" for section, column in simple
     ]
-    form = "struct(f.method AS method, f.inputs AS inputs, f.csrf_protected AS csrf_protected)"
     found += [
-        f"transform(forms, (f, i) -> {_finding('forms', 'f.action', 'i', form=form)})",
-        "transform(filter(transform(forms, (f, i) -> struct(i AS i, f AS f)), e -> size(e.f.issues) > 0), e -> "
-        + _finding("form_risk_flags", "e.f.action", "e.i", form=form.replace("f.", "e.f."), issues="e.f.issues")
-        + ")",
-        f"transform(form_params, (v, i) -> {_finding('params', 'v', 'i')})",
-        f"transform(html_secrets, (h, i) -> {_secret('h', 'url', 'i')})",
-        "transform(script_secrets, (h, i) -> " + _secret("h", "concat(url, ' (inline script)')", "i") + ")",
+        f"transform(html_secrets, (h, i) -> {_secret('h', 'url', 'i', _NO_PARTS)})",
+        "transform(script_secrets, (h, i) -> " + _secret("h", "concat(url, ' (inline script)')", "i", _NO_PARTS) + ")",
         "transform(endpoints, (e, i) -> "
-        + _finding("js_endpoint_findings", "e.value", "i", category="e.category")
+        + _finding("js_endpoint_findings", "e.value", "i", category="e.category", parts=_NO_PARTS)
         + ")",
+        f"IF(size(form_parts) > 0, array({_finding('', 'url', parts=', form_parts AS parts')}), NULL)",
     ]
     return found
 
 
+def _form_sections() -> list[str]:
+    """The same for the assembled ``forms`` of the page ``source``."""
+    form = "struct({0}.method AS method, {0}.inputs AS inputs, {0}.csrf_protected AS csrf_protected)"
+    here = {"source": "source"}
+    return [
+        f"transform(forms, (f, i) -> {_finding('forms', 'f.action', 'i', form=form.format('f'), **here)})",
+        "transform(filter(transform(forms, (f, i) -> struct(i AS i, f AS f)), e -> size(e.f.issues) > 0), e -> "
+        + _finding("form_risk_flags", "e.f.action", "e.i", form=form.format("e.f"), issues="e.f.issues", **here)
+        + ")",
+        "transform(array_remove(array_distinct(flatten(transform(forms, f -> f.inputs.name))), ''), (v, i) -> "
+        + _finding("params", "v", "i", **here)
+        + ")",
+    ]
+
+
 def _prepared(pages: DataFrame, key: str | None) -> DataFrame:
     """Pages with every finding as an array column, html gone."""
     page_key = F.col(key).cast("bigint") if key else F.lit(None).cast("bigint")
@@ -72,13 +86,10 @@ def _prepared(pages: DataFrame, key: str | None) -> DataFrame:
         {
             "base": urls.base_parts("url"),
             "scripts": extracted.script_elements("html"),
-            "raw_forms": extracted.raw_forms("html"),
         }
     )
     cut = cut.withColumn("bodies", extracted.inline_bodies("scripts"))
-    with_form = f"""transform(raw_forms, f -> struct({extracted.form_action_sql('f.action', 'base')} AS action,
-        f.method AS method, f.inputs AS inputs, {forms.has_csrf_field_sql('f.inputs')} AS csrf_protected))"""
-    cut = cut.select(
+    return cut.select(
         "url",
         "page_key",
         extracted.script_urls("scripts", "base").alias("js_urls"),
@@ -88,27 +99,35 @@ def _prepared(pages: DataFrame, key: str | None) -> DataFrame:
         F.expr(texts.secrets_sql("html")).alias("html_secrets"),
         F.expr(f"flatten(transform(bodies, b -> {texts.secrets_sql('b')}))").alias("script_secrets"),
         F.expr(f"array_distinct(flatten(transform(bodies, b -> {texts.endpoints_sql('b')})))").alias("endpoints"),
-        F.expr(with_form).alias("forms"),
+        markup.form_parts("html").alias("form_parts"),
     )
+
+
+def _with_forms(found: DataFrame) -> DataFrame:
+    """Findings with ``forms``, assembled where a row holds the form tags of a page."""
+    base = F.when(F.col("parts").isNotNull(), urls.base_parts("source"))
+    raw = found.withColumns({"raw_forms": forms.assemble_forms("parts"), "base": base})
+    with_form = f"""transform(raw_forms, f -> struct({extracted.form_action_sql('f.action', 'base')} AS action,
+        f.method AS method, f.inputs AS inputs, {forms.has_csrf_field_sql('f.inputs')} AS csrf_protected))"""
     issues = forms.form_issues_sql("f.method", "f.inputs", "f.csrf_protected")
-    return cut.withColumns(
-        {
-            "forms": F.expr(
-                f"""transform(forms, f -> struct(f.action AS action, f.method AS method, f.inputs AS inputs,
-                    f.csrf_protected AS csrf_protected, {issues} AS issues))"""
-            ),
-            "form_params": F.expr(
-                "array_remove(array_distinct(flatten(transform(forms, f -> f.inputs.name))), '')"
-            ),
-        }
-    )
+    flagged = f"""transform(forms, f -> struct(f.action AS action, f.method AS method, f.inputs AS inputs,
+        f.csrf_protected AS csrf_protected, {issues} AS issues))"""
+    return raw.withColumn("forms", F.expr(with_form)).withColumn("forms", F.expr(flagged))
 
 
 def page_findings(pages: DataFrame, key: str | None = "page_id") -> DataFrame:
-    """Findings of pages with ``url`` and ``html``; ``key`` names a column that tells captures apart."""
+    """Findings of pages with ``url`` and ``html``; ``key`` names a column that tells captures apart.
+
+    Rows are made of a page before Python sees any: the function that assembles forms gets rows without html.
+    """
     sections = ", ".join(f"coalesce({s}, array())" for s in _page_sections())
-    every = f"concat(array({_finding('internal_urls', 'url')}), {sections})"
-    return _prepared(pages, key).select("page_key", F.inline(F.expr(every))).select(*COLUMNS)
+    every = f"concat(array({_finding('internal_urls', 'url', parts=_NO_PARTS)}), {sections})"
+    found = _with_forms(_prepared(pages, key).select("page_key", F.inline(F.expr(every))))
+    of_forms = ", ".join(f"coalesce({s}, array())" for s in _form_sections())
+    names = [c for c in COLUMNS if c != "page_key"]
+    itself = "array(struct(" + ", ".join(names) + "))"
+    rows = F.inline(F.expr(f"IF(parts IS NULL, {itself}, concat({of_forms}))"))
+    return found.select("page_key", rows).select(*COLUMNS)
 
 
 def asset_findings(js_urls: DataFrame, js_assets: DataFrame) -> DataFrame:
