@@ -23,13 +23,13 @@ LEAST_WORDS = 50
 CAPITALS = "A-Z"
 
 # Rules: a figure, and the grid of its cutoffs. A document is rejected if the figure is above the cutoff.
-SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0)
-RULES: dict[str, tuple[Column | str, tuple[float, ...]]] = {
-    "symbols": ("n_symbols / n_words", SHARES),
-    "repeats": ("n_repeat_words / n_words", SHARES[:9]),
-    "dup_lines": ("n_dup_lines / n_lines", SHARES[:10]),
-    "capitals": ("n_capitals / word_chars", SHARES[:10]),
-    "long_words": ("word_chars / n_words", (6.0, 8.0, 10.0, 12.0, 15.0, 20.0, 30.0, 50.0)),
+# The grids begin where a reader would begin to doubt: lower cutoffs are never tested.
+RULES: dict[str, tuple[str, tuple[float, ...]]] = {
+    "symbols": ("n_symbols / n_words", (0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0)),
+    "repeats": ("n_repeat_words / n_words", (0.15, 0.2, 0.3, 0.4, 0.5)),
+    "dup_lines": ("n_dup_lines / n_lines", (0.2, 0.3, 0.4, 0.5, 0.75)),
+    "capitals": ("n_capitals / word_chars", (0.2, 0.3, 0.5, 0.75)),
+    "long_words": ("word_chars / n_words", (8.0, 10.0, 12.0, 15.0, 20.0, 30.0, 50.0)),
 }
 
 
