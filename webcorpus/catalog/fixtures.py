@@ -91,10 +91,10 @@ def duckdb_ctes(*names: str) -> list[tuple[str, str]]:
     return [(n, _each(text, "unnest(list_value(")) for n, text in TABLES.items() if n in wanted]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table derived from ``pages``."""
+def table(spark: SparkSession, sf_dir: str, name: str, stream: DataFrame | None = None) -> DataFrame:
+    """A table derived from ``pages``, or from a stream of them."""
     ctes = ", ".join(f"{n} AS ({_each(TABLES[n], 'explode(array(')})" for n in _needed(name))
-    pages = captures.read_pages(spark, f"{sf_dir}/pages.parquet")
-    if name == "deco":  # the input of the html searches
+    pages = captures.read_pages(spark, f"{sf_dir}/pages.parquet") if stream is None else stream
+    if name == "deco" and stream is None:  # the input of the html searches
         pages = captures.spread(pages)
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}".replace("FROM pages", "FROM {pages}"), pages=pages)

@@ -447,13 +447,21 @@ ORACLES = {
     ),
     "escaped_html": f"SELECT page_id, {_ESCAPE.format('html')} AS escaped FROM pages",
     "stream_findings": _oracle(
-        """SELECT 'internal_urls' AS section, url AS source, page_id AS page_key, url AS value FROM page
-        UNION ALL SELECT 'comments', source, page_id, comment FROM comments
-        UNION ALL SELECT 'js_files', page_url, page_id, js_url FROM js
-        UNION ALL SELECT 'emails', source, page_id, email FROM emails
-        UNION ALL SELECT 'params', source, page_id, name FROM url_params
-        UNION ALL SELECT 'secrets', source, page_id, value_preview FROM secrets WHERE page_id IS NOT NULL""",
-        _RAW,
+        f"""SELECT section, category, source, page_key, value, confidence, method, issues FROM (
+        SELECT 'internal_urls' AS section, '' AS category, url AS source, page_id AS page_key, url AS value,
+            {_EMPTY} AS confidence, {_EMPTY} AS method, {_EMPTY} AS issues FROM page
+        UNION ALL SELECT 'comments', '', source, page_id, comment, {_EMPTY}, {_EMPTY}, {_EMPTY} FROM comments
+        UNION ALL SELECT 'js_files', '', page_url, page_id, js_url, {_EMPTY}, {_EMPTY}, {_EMPTY} FROM js
+        UNION ALL SELECT 'emails', '', source, page_id, email, {_EMPTY}, {_EMPTY}, {_EMPTY} FROM emails
+        UNION ALL SELECT 'params', '', source, page_id, name, {_EMPTY}, {_EMPTY}, {_EMPTY} FROM url_params
+        UNION ALL SELECT DISTINCT 'params', '', source, page_id, name, {_EMPTY}, {_EMPTY}, {_EMPTY} FROM form_names
+        UNION ALL SELECT 'forms', '', found_on, page_id, action, {_EMPTY}, method, {_EMPTY} FROM form_facts
+        UNION ALL SELECT 'form_risk_flags', '', found_on, page_id, action, {_EMPTY}, method, issues FROM flags
+        UNION ALL SELECT DISTINCT 'js_endpoint_findings', category, source, page_id, value, {_EMPTY}, {_EMPTY}, {_EMPTY}
+            FROM endpoints WHERE page_id IS NOT NULL
+        UNION ALL SELECT 'secrets', type, source, page_id, value_preview, confidence, {_EMPTY}, {_EMPTY}
+            FROM secrets WHERE page_id IS NOT NULL) AS every""",
+        _GATED_DECO,
     ),
     "stream_visited": _oracle("SELECT DISTINCT url FROM page_links", _RAW),
 }

@@ -35,10 +35,11 @@ def _deco(spark, sf_dir):
     return table(spark, sf_dir, "deco").select("page_id", "url", "html")
 
 
-def _captures(spark, sf_dir):
+def _captures(spark, sf_dir, stream=None):
     """Decorated pages with status and headers; a missing content type is a missing header."""
     headers = F.when(F.col("content_type") != "", F.create_map(F.lit("Content-Type"), F.col("content_type")))
-    return table(spark, sf_dir, "deco").select("page_id", "url", "status", "html", headers.alias("headers"))
+    decorated = table(spark, sf_dir, "deco", stream)
+    return decorated.select("page_id", "url", "status", "html", headers.alias("headers"))
 
 
 def _scope(spark):
@@ -460,10 +461,13 @@ def _page_stream(spark, sf_dir):
 
 @query
 def stream_findings(spark, sf_dir):
-    stored = ingest.run_available(
-        ingest.stream_findings(_page_stream(spark, sf_dir)), new_folder(spark, "stream-findings")
+    """The findings of decorated, gated pages that arrive as a stream."""
+    gated = captures.content_gate(_captures(spark, sf_dir, _page_stream(spark, sf_dir)))
+    stored = ingest.run_available(ingest.stream_findings(gated), new_folder(spark, "stream-findings"))
+    return stored.select(
+        "section", "category", "source", "page_key", "value", "confidence",
+        F.col("form.method").alias("method"), F.array_join("issues", ", ").alias("issues"),
     )
-    return stored.select("section", "source", "page_key", "value")
 
 
 @query
