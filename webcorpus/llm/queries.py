@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webcorpus.llm.decontaminate import leaks
 from webcorpus.llm.html_extract import extract
 from webcorpus.llm.ngram_join import ngram_join
+from webcorpus.llm.oracles import ORACLES  # noqa: F401  registered beside the queries
 from webcorpus.llm.packing import pack
 from webcorpus.llm.quality import fit, scored
 from webcorpus.llm.quality_rules import quality_rules
@@ -107,4 +108,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
