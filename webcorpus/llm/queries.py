@@ -23,7 +23,11 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_OF_TEXT = 49407  # of that vocabulary
 
 
+BATCH_ROWS = "1000"  # texts handed to Python at once: a few MB
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,7 +11,9 @@ import numpy as np
 
 # White space never joins two tokens of this kind of vocabulary and case is folded, so the ids of a text are those of
 # its lower-case words. Any corpus repeats its words: looking them up is many times cheaper than encoding whole texts.
-CACHE_WORDS = 1_000_000
+# Two generations: words met again move to the young one, and when that is full the old one goes.
+CACHE_WORDS = 120_000
+KEPT_WORDS = 40_000  # a task's end leaves at most so many for the next; later tasks learn about as fast as they look up
 # str.split() breaks at these four, the tokenizer doesn't; beyond Latin-1 two lower-casings might differ.
 ENCODE_WHOLE = re.compile("[\x1c-\x1f]")
 KEEP_CASE = re.compile("[^\x00-\xff]")
@@ -37,6 +39,7 @@ class WordTokenizer:
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -59,23 +62,25 @@ class WordTokenizer:
 
     def _all(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each of these words. Only stems and odd words are kept; marks behind a stem are put on anew."""
-        found = dict(zip(words, map(self.known.get, words), strict=True))
+        if len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        found = dict(zip(words, map(known.get, words), strict=True))
         missing = [word for word, ids in found.items() if ids is None]
         parts = {word: m.groups() for word in missing if (m := STEM_AND_MARKS.fullmatch(word))}
         wanted = {part for pair in parts.values() for part in pair}.union(w for w in missing if w not in parts)
-        if new := list(wanted.difference(self.known)):
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                return self._all(words) if len(new) < CACHE_WORDS // 2 else dict(zip(words, self.encode(list(words))))
+        wanted.difference_update(known)
+        again = [word for word in wanted if word in old]
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        if new := list(wanted.difference(again)):
             self._learn(new)
-        known = self.known
         for word in missing:
             pair = parts.get(word)
             found[word] = known[pair[0]] + known[pair[1]] if pair else known[word]
         return found
 
-    def ids(self, texts: Iterable[str], slice_chars: int = 2_000_000) -> Iterator[np.ndarray]:
-        """Words are learned for a slice of texts at a time; the cache starts anew when it is full."""
+    def ids(self, texts: Iterable[str], slice_chars: int = 1_000_000) -> Iterator[np.ndarray]:
+        """Words are learned for a slice of texts at a time; a slice may fill the cache past its size."""
         held: list[str] = []
         chars = 0
         for text in texts:
@@ -85,6 +90,9 @@ class WordTokenizer:
                 yield from self._slice(held)
                 held, chars = [], 0
         yield from self._slice(held)
+        self.old = {}
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
 
     def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [None if ENCODE_WHOLE.search(t) else (t if KEEP_CASE.search(t) else t.lower()).split() for t in texts]
