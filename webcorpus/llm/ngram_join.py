@@ -29,7 +29,7 @@ from webcorpus.session import Scratch, written
 
 FREQUENT_LOCAL = 4  # a task reports n-grams that so many of the sets it has seen hold
 FREQUENT_MOST = 200_000  # so many n-grams are put last in the order; a bound of what tasks are sent (1.6 MB)
-FREQUENT_FLUSH = 1_000_000  # n-grams counted together in a task
+FREQUENT_FLUSH = 500_000  # n-grams counted together in a task
 SHARED_PERCENT = 3  # of a set's members that it has to share within the prefixes
 TILE_MEMBERS, TILE_NGRAMS = 8_000, 2_000_000  # a larger tile is dealt over several, each with the smallest set
 BITMAP_MOST = 1 << 15  # bits of the largest signature
@@ -321,7 +321,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
         placed = scratch.write(placed.join(fit, "root").select("set_id", "n", tile.alias("tile")))
         sizes = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("ngrams"))
         parts = F.greatest(F.lit(1), F.ceil(F.col("held") / TILE_MEMBERS), F.ceil(F.col("ngrams") / TILE_NGRAMS))
-        sizes = scratch.write(sizes.where("held > 1").select("tile", parts.cast("int").alias("parts")))
+        sizes = scratch.write(sizes.select("tile", parts.cast("int").alias("parts")))
         dealt = placed.join(sizes, "tile").select(
             "tile", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), "set_id"
         )
