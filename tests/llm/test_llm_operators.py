@@ -229,6 +229,25 @@ def test_ngram_join(spark, monkeypatch, members):
     assert len(rows) == len(texts)
 
 
+@pytest.mark.parametrize("members", [2, 8_000])
+def test_ngram_join_of_sets_that_meet_nobody(spark, monkeypatch, members):
+    monkeypatch.setattr(ngram_join, "TILE_MEMBERS", members)
+    rng = random.Random(9)
+    new = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    texts = []
+    for lengths in [(8, 9, 10), (19, 24, 30), (30, 24, 19), (8, 10), (40, 50, 62, 77, 96)] * 4:  # chains of prefixes
+        words = new(max(lengths))
+        texts += [" ".join(words[:k]) for k in lengths]
+    for _ in range(12):  # excerpts of one text, of many lengths and places
+        words = new(150)
+        for _ in range(8):
+            start, length = rng.randrange(60), rng.randrange(20, 150)
+            texts.append(" ".join(words[start : start + length]))
+    rng.shuffle(texts)
+    rows = ngram_join.ngram_join(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_of(texts)
+
+
 def test_ngram_join_of_nothing_and_null_keys(spark):
     assert ngram_join.ngram_join(documents(spark, [])).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, None), (3, "a b c d e f")], "doc_id long, text string")

@@ -6,7 +6,8 @@ documents share seldom are in a prefix. A frequency only moves an n-gram in the
 n, so that a few common passages don't make a candidate; sets that share too few members with any others are left out.
 
 Tiles. Each set meets the smallest set of the size band that it shares most prefix members with; what hangs together by such
-meetings is a tile, if it isn't too large for a task, else each set's meeting is. Every set is in one tile. A tile compares bitmaps of member parities: bits that differ bound the overlap from above, and only what passes is intersected. Sets
+meetings is a tile, if it isn't too large for a task, else each set's meeting is. A set that meets none and is met by none is in
+no tile; all its pairs are left to the rest. A tile compares bitmaps of member parities: bits that differ bound the overlap from above, and only what passes is intersected. Sets
 already in one component aren't compared again, so a group of g copies costs g comparisons, not g^2.
 
 The rest. Pairs with a common prefix member that no tile has seen and whose components differ are compared by bitmap, then
@@ -329,7 +330,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
                                F.col("tile").alias("set_id"))
         tiles = scratch.write(dealt.union(centres))
 
-        candidates = tiles.select("set_id").union(shared.where("meet IS NOT NULL").select("meet")).distinct()
+        # All sets that share members, also those in no tile: each may be in a pair of the rest.
+        candidates = met.select("set_id")
         # Texts of the candidates are found by a filter of fixed size, so that no other text is moved.
         first = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))
         chosen = scratch.write(first.join(candidates, "set_id", "left_semi"))
