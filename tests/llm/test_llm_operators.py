@@ -401,6 +401,17 @@ def test_leaks(spark):
     assert decontaminate.leaks(documents(spark, []), bench).count() == decontaminate.leaks(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_short_items_match_exactly(spark):
+    texts = ["x y Who wrote  Faust? z who wrote faust", "who then wrote faust", "what 東京は日本の首都です end", "one", None, "who wrote",
+             "a b c d e f g", "a b c d e f", "a b c x e f g"]
+    items = [(1, "who wrote Faust"), (2, "東京は日本の首都です"), (3, "one"), (4, "a b c d e f g"), (5, "?!"), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.leaks(documents(spark, texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits, r.item_words) for r in rows) == [(0, 1, 0, 3), (2, 2, 0, 1), (3, 3, 0, 1), (6, 4, 0, 7)]
+    found = {r.doc_id: texts[r.doc_id][r.start : r.end] for r in rows}
+    assert found == {0: "Who wrote  Faust", 2: "東京は日本の首都です", 3: "one", 6: "a b c d e f g"}
+
+
 def test_recall_of_edited_items():
     rng = random.Random(11)
     items = decontaminate.Items([(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(10, 60))).encode()) for i in range(40)], 25, 0.99, 8)

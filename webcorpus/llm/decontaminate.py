@@ -52,11 +52,11 @@ class Items:
     def __post_init__(self) -> None:
         for item_id, text in self.rows:
             words = word_hashes(text, IS_PLAIN)[0]
-            if len(words) >= self.min_words:
+            if len(words):
                 self.ids.append(item_id)
                 self.words.append(words)
         self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.edits = self.lengths * self.edit_percent // 100
+        self.edits = np.where(self.lengths < self.min_words, 0, self.lengths * self.edit_percent // 100)
         runs = -(-(self.lengths - self.edits) // (self.edits + 1))
         self.least = np.maximum(1, self.lengths - runs + 1 - self.edits * runs)  # runs that a match shares
         # By run length: hashes of runs, with the item and the place of each.
@@ -125,6 +125,8 @@ class Items:
                     shared.setdefault(item, []).append((p, p - offset))
             for item, runs in shared.items():
                 k, n, least = int(self.edits[item]), int(self.lengths[item]), int(self.least[item])
+                if not k:
+                    runs = runs[:1]  # a run of all its words is a match, and the first is the one to give
                 dense = [later - p <= n + k for (p, _), (later, _) in zip(runs, runs[least - 1 :], strict=False)]
                 diagonals = set()
                 upto = -1  # runs up to this place belong to a stretch of the length of a match with enough of them
@@ -166,8 +168,9 @@ def leaks(
 
     Words are runs of letters, digits and non-ASCII characters in lower case; at most ``edit_percent`` of an item's words
     may be edited. One row per document row and item, the match with fewest edits, the first of equal ones; ``start`` and
-    ``end`` are code points. Items with a null text or fewer than ``min_words`` words say too little and match nothing; null,
-    empty and short documents hold nothing. Equal items match each on its own, repeated document rows give repeated
+    ``end`` are code points. An item of fewer than ``min_words`` words is matched exactly, by a run of all its words. What is
+    written without spaces is one word, which matches as a whole only. Items with a null text or without words match
+    nothing; null and empty documents hold nothing. Equal items match each on its own, repeated document rows give repeated
     result rows, null keys stay null. Other columns aren't read. ``recall`` is the target of the candidate search for windows
     with the largest allowed distance; closer ones are found more surely, exact copies always. Without items or documents
     the result is empty. Items are sent to the tasks in blocks of 5,000, each a pass over the documents.
