@@ -412,6 +412,18 @@ def test_short_items_match_exactly(spark):
     assert found == {0: "Who wrote  Faust", 2: "東京は日本の首都です", 3: "one", 6: "a b c d e f g"}
 
 
+def test_blocks_of_items_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontaminate, "LONG_ITEM", 30)
+    rows = [(1, b"x" * 15), (2, b"y" * 20), (3, b"z" * 90), (4, b"w" * 10), (5, b"v" * 30)]
+    assert list(decontaminate.blocks(rows)) == [[rows[2]], rows[:2], [rows[4]], [rows[3]]]
+    assert list(decontaminate.blocks([])) == [[]] and list(decontaminate.blocks(rows[2:3])) == [rows[2:3]]
+    texts = ["a few words here", "so many words that this one is long", "other", "nothing"]
+    bench = spark.createDataFrame(list(enumerate(texts[:3])), "item_id long, text string")
+    rows = decontaminate.leaks(documents(spark, texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_recall_of_edited_items():
     rng = random.Random(11)
     items = decontaminate.Items([(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(10, 60))).encode()) for i in range(40)], 25, 0.99, 8)

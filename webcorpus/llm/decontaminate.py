@@ -28,7 +28,8 @@ SAMPLES = 2  # steps compared in a repetition
 AGREE = 0.45  # share of steps at which walks of the largest allowed distance agree, measured; sets the repetitions
 STEPS_PER_WORD = 2  # a walk reads n words in about 2 n steps
 LANES = 1 << 18  # walks carried on together
-BLOCK_ITEMS = 5_000  # items sent to the tasks at once
+BLOCK_ITEMS, BLOCK_BYTES = 5_000, 4 << 20  # items sent to the tasks at once, and bytes of their texts
+LONG_ITEM = 1 << 16  # bytes from which an item is a block of its own, since walks are as long as the longest item
 FIELDS = "doc_id bigint, item_id bigint, edits int, item_words int, start bigint, end bigint"
 NAMES = [column.split()[0] for column in FIELDS.split(", ")]
 SEED_BITS = 1 << 20
@@ -173,20 +174,39 @@ def leaks(
     nothing; null and empty documents hold nothing. Equal items match each on its own, repeated document rows give repeated
     result rows, null keys stay null. Other columns aren't read. ``recall`` is the target of the candidate search for windows
     with the largest allowed distance; closer ones are found more surely, exact copies always. Without items or documents
-    the result is empty. Items are sent to the tasks in blocks of 5,000, each a pass over the documents.
+    the result is empty. Items are sent to the tasks in blocks of at most
+    5,000 and 4 MB, one of 64 KB or more in a block of its own; each block is a pass over the documents.
     """
     spark = docs.sparkSession
     texts = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     items = benchmark.select(benchmark[item_key].cast("bigint").alias("item_id"), benchmark[item_text].alias("text"))
     items = items.where("text IS NOT NULL").orderBy("item_id", "text")
     results = []
-    for block in range(max(1, -(-items.count() // BLOCK_ITEMS))):
-        rows = [(r.item_id, r.text.encode()) for r in items.offset(block * BLOCK_ITEMS).limit(BLOCK_ITEMS).toLocalIterator()]
+    for rows in blocks((r.item_id, r.text.encode()) for r in items.toLocalIterator()):
         sent = spark.sparkContext.broadcast(rows)
         results.append(texts.mapInArrow(_search(sent, edit_percent, recall, min_words), FIELDS))
     return reduce(DataFrame.unionAll, results)
 
 
+def blocks(rows: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+    """All items in blocks bounded in number and bytes, long ones each alone; one empty block if there are none."""
+    held: list[tuple[int, bytes]] = []
+    size = count = 0
+    for row in rows:
+        if len(row[1]) >= LONG_ITEM:
+            count += 1
+            yield [row]
+            continue
+        if held and (len(held) == BLOCK_ITEMS or size + len(row[1]) > BLOCK_BYTES):
+            count += 1
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row[1])
+    if held or not count:
+        yield held
+
+
 def _search(sent, edit_percent: int, recall: float, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(sent.value, edit_percent, recall, min_words)
