@@ -179,6 +179,25 @@ def test_separator_scan(spark, tokenizer, block):
     assert token_files.token_counts(documents(spark, []), new_folder(spark, "t"), TOKENIZER, END_OF_TEXT).count() == 0
 
 
+@pytest.mark.parametrize("rows", [0, 9_999, 10_000, 20_000])
+def test_token_files_of_splits_of_any_size(spark, rows):
+    """A split of an exact multiple of the listing batch, and empty splits, list every row once."""
+    docs = spark.range(rows).selectExpr("id AS doc_id", "CAST(id % 7 AS STRING) AS text").repartition(1)
+    docs = docs.unionByName(docs.limit(0).repartition(3))
+    listed = token_files.write_token_files(docs, new_folder(spark, "t"), TOKENIZER, END_OF_TEXT).collect()
+    assert sorted(r.doc_id for r in listed) == list(range(rows))
+    assert sorted(r.ordinal for r in listed) == list(range(rows))
+
+
+def test_blocks_are_searched_in_many_tasks(spark):
+    files = spark.createDataFrame([(f"f{i}", 2 * 1000) for i in range(8)] + [("empty", 0)], "file string, bytes long")
+    dealt = token_files.dealt_blocks(files, block=10, task_bytes=400)
+    assert dealt.count() == 800
+    assert dealt.rdd.getNumPartitions() == 40
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 40 and max(r["count"] for r in sizes) <= 2 * 800 // 40
+
+
 def test_scan_of_a_file_that_ends_in_a_document(spark, tmp_path):
     np.array([5, 9, 9, 5, 5, 5], "<u2").tofile(tmp_path / "a")
     np.array([9], "<u2").tofile(tmp_path / "b")

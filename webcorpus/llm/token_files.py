@@ -21,6 +21,7 @@ from webcorpus.llm.tokens import tokenizer
 from webcorpus.session import written
 
 BLOCK = 1 << 20  # ids in a block: 2 MB
+TASK_BYTES = 64 << 20  # bytes of token files one searching task reads
 FILES = "file string, doc_id bigint, ordinal bigint"
 FILES_NAMES = [column.split()[0] for column in FILES.split(", ")]
 LISTED = "file string, bytes bigint"
@@ -66,12 +67,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                     yield listed(keys[:10_000], ordinal - 10_000)
                     del keys[:10_000]
         store.move(f"{path}/_{name}", f"{path}/{name}")
-        yield listed(keys, ordinal - len(keys))
+        if keys:
+            yield listed(keys, ordinal - len(keys))
 
     def listed(keys: list[int | None], first: int) -> pa.RecordBatch:
         name = file_name()
         places = pa.array(range(first, first + len(keys)), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys, pa.int64()), places], FILES_NAMES)
+        names = pa.array([name] * len(keys), pa.string())
+        return pa.RecordBatch.from_arrays([names, pa.array(keys, pa.int64()), places], FILES_NAMES)
 
     rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     return written(rows.mapInArrow(run, FILES), "token-file-documents")
@@ -90,16 +93,29 @@ def file_sizes(names: DataFrame, folder: str) -> DataFrame:
     return names.select("file").mapInArrow(run, LISTED)
 
 
-def scan_separators(files: DataFrame, folder: str, end_id: int, block: int = BLOCK) -> DataFrame:
+def dealt_blocks(files: DataFrame, block: int = BLOCK, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``file, bytes, block``: every block of the non-empty files of ``files(file, bytes)``, dealt by range over the tasks."""
+    files = written(files.where("bytes > 1"), "token-file-sizes")
+    n_bytes, n_blocks = files.agg(F.sum("bytes"), F.sum(F.expr(f"(bytes DIV 2 - 1) DIV {block} + 1"))).first()
+    tasks = max(1, min(n_blocks or 0, max(files.sparkSession.sparkContext.defaultParallelism, -(-(n_bytes or 0) // task_bytes))))
+    blocks = files.select(
+        "file", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(bytes DIV 2 - 1) DIV {block}"))).alias("block")
+    )
+    return blocks.repartitionByRange(tasks, "file", "block")
+
+
+def scan_separators(files: DataFrame, folder: str, end_id: int, block: int = BLOCK, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``file, ordinal, start, length`` of every document in the flat files of ``files(file, bytes)``.
 
     ``start`` and ``length`` count ids, the length with the end identifier. Ids behind the last end identifier of a file are a
     document without end: a row with a null ordinal. Empty files have no rows. A block reports where its documents end, at
     most one row per document; none holds a document's ids but the ones that read it.
+
+    Blocks are dealt by range of (file, block) over as many tasks as the bytes ask (``task_bytes`` each, at least one task per
+    core): an explicit count that adaptive execution does not merge, so the search never runs in one task however few bytes
+    the rows of blocks weigh.
     """
-    blocks = files.where("bytes > 1").select(
-        "file", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(bytes DIV 2 - 1) DIV {block}"))).alias("block")
-    )
+    spread = dealt_blocks(files, block, task_bytes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = opened(folder)
@@ -118,7 +134,6 @@ def scan_separators(files: DataFrame, folder: str, end_id: int, block: int = BLO
                     ["file", "block", "ids", "found", "last", "ends"],
                 )
 
-    spread = blocks.repartition("file", "block")
     found = written(
         spread.mapInArrow(search, "file string, block bigint, ids bigint, found bigint, last bigint, ends array<bigint>"), "separators"
     )
