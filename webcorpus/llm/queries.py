@@ -14,6 +14,7 @@ from webcorpus.llm.packing import pack
 from webcorpus.llm.quality import fit, scored
 from webcorpus.llm.quality_rules import quality_rules
 from webcorpus.llm.secret_scan import BASE_KINDS, secret_scan
+from webcorpus.llm.spelling import spelling_variants
 from webcorpus.llm.token_files import token_counts
 from webcorpus.llm.url_templates import url_filter
 from webcorpus.llm.warc import archive_round_trip
@@ -100,6 +101,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -111,4 +116,5 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_spelling_variants": op11_spelling_variants,
 }
