@@ -1,12 +1,14 @@
 """Spelling variants, repeated-window removal and the conversation trie against brute force."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
 
 import pytest
 
-from webcorpus.llm import spelling
+from webcorpus.llm import conversation_trie, spelling
 from webcorpus.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, word string, form string, n long"
@@ -99,3 +101,84 @@ def test_spelling_query_on_the_given_table(spark, sf):
     table = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     got = {tuple(r) for r in QUERIES["op11_spelling_variants"](spark, sf).collect()}
     assert got == brute_spelling(table["doc_id"], table["text"])
+
+
+def brute_trie(rows):
+    """Nodes of the trie of rebuilt conversations, straight from the contract."""
+    own = {}
+    for conv_id, turn, role, text in rows:
+        if conv_id is not None:
+            own.setdefault(conv_id, []).append((turn is not None, turn if turn is not None else 0, role or "", text or ""))
+    own = {c: [(t[2], t[3]) for t in sorted(ts)] for c, ts in own.items()}
+    built = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - int(math.fmod(c, 100))
+        built[c] = own.get(base, [])[:h] + ts[h:]
+    members = {}
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(tuple(ts[:d]), []).append(c)
+    children = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+
+    def subtree(node):
+        below = [subtree(k) for k in children.get(node, [])]
+        leaves = sum(b[0] for b in below) + (0 if node in children else 1)
+        saved = sum(b[1] for b in below) + ((len(members[node]) - 1) * len(node[-1][1]) if node else 0)
+        return leaves, saved
+
+    out = set()
+    for node, convs in members.items():
+        leaves, saved = subtree(node)
+        ends = sorted(c for c in convs if len(built[c]) == len(node))
+        out.add((min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), len(children.get(node, [])),
+                 leaves, saved, hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return out
+
+
+def conversation_rows(seed, n=60):
+    rng = random.Random(seed)
+    openers = [("user", "hi"), ("system", "be brief"), ("user", None), (None, "héllo")]
+    rows = []
+    for c in rng.sample(range(0, 400), n):
+        turns = [rng.choice(openers)] + [(rng.choice(["user", "assistant"]), rng.choice(["a", "bb", "ccc", "ok", ""])) for _ in range(rng.randint(0, 7))]
+        for i, (role, text) in enumerate(turns):
+            rows.append((c, i if rng.random() > 0.05 else None, role, text))
+        if rng.random() < 0.1:
+            rows.append(rows[-1])
+    rows += [(None, 0, "user", "lost"), (1000, None, None, None)]
+    return rows
+
+
+CONVS = "conv_id long, turn long, role string, text string, depth string, node string, n_convs int"
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_conversation_trie_by_brute_force(spark, seed):
+    rows = conversation_rows(seed)
+    frame = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], CONVS).repartition(3)
+    got = {tuple(r) for r in conversation_trie.conversation_trie(frame).collect()}
+    assert got == brute_trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    empty = spark.createDataFrame([], CONVS)
+    assert conversation_trie.conversation_trie(empty).count() == 0
+
+
+def test_trie_of_a_long_chain_and_a_wide_root(spark):
+    rows = [(100, i, "user", str(i)) for i in range(300)] + [(200 + i, 0, "user", f"w{i}") for i in range(50)]
+    frame = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], CONVS)
+    got = {tuple(r) for r in conversation_trie.conversation_trie(frame).collect()}
+    assert got == brute_trie(rows)
+
+
+def test_trie_query_on_the_given_table(spark, sf):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{sf}/conversations.parquet", columns=["conv_id", "turn", "role", "text"]).to_pylist()
+    got = {tuple(r) for r in QUERIES["op13_conversation_trie"](spark, sf).collect()}
+    assert got == brute_trie([tuple(r.values()) for r in table])

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webcorpus.llm.conversation_trie import conversation_trie
 from webcorpus.llm.decontaminate import leaks
 from webcorpus.llm.html_extract import extract
 from webcorpus.llm.ngram_join import ngram_join
@@ -105,6 +106,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -117,4 +122,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_conversation_trie": op13_conversation_trie,
 }
