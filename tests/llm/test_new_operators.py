@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from webcorpus.llm import conversation_trie, spelling
+from webcorpus.llm import conversation_trie, repeated_windows, spelling
 from webcorpus.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, word string, form string, n long"
@@ -182,3 +182,43 @@ def test_trie_query_on_the_given_table(spark, sf):
     table = pq.read_table(f"{sf}/conversations.parquet", columns=["conv_id", "turn", "role", "text"]).to_pylist()
     got = {tuple(r) for r in QUERIES["op13_conversation_trie"](spark, sf).collect()}
     assert got == brute_trie([tuple(r.values()) for r in table])
+
+
+def window_texts(seed):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "δέλτα", "ε", "zeta", "eta", "theta", "日本"]
+
+    def para(n):
+        return " ".join(rng.choice(words) + str(rng.randint(0, 99)) for _ in range(n))
+
+    shared, edge = para(90), para(60)
+    texts = [para(200), shared + para(50), para(30) + shared, para(300), "x" * 1000, None, "", para(80) * 3, shared, shared]
+    texts += [para(10), edge[:399], edge[:399], edge[:400] + "!", "?" + edge[:400], para(40) + shared[:401] + para(40)]
+    texts += [para(150) for _ in range(5)] + [para(700) + shared + para(700)]
+    return texts
+
+
+@pytest.mark.parametrize("seed, chunk", [(6, 1 << 20), (7, 500), (8, 1)])
+def test_repeated_windows_by_brute_force(spark, seed, chunk):
+    texts = window_texts(seed)
+    keys = list(range(len(texts)))
+    keys[3] = None
+    got = sorted(repeated_windows.repeated_windows(documents(spark, texts, keys=keys), chunk=chunk).collect(), key=str)
+    want = sorted(((k, *r) for k, r in zip(keys, repeated_windows.brute_force(texts), strict=True)), key=str)
+    assert [tuple(r) for r in got] == want
+    assert sum(r[2] for r in want) > 0 and any(0 < r[2] < r[1] for r in want)
+
+
+def test_repeated_windows_of_nothing(spark):
+    assert repeated_windows.repeated_windows(documents(spark, [])).count() == 0
+    rows = repeated_windows.repeated_windows(documents(spark, [None, "", "short"])).collect()
+    assert sorted(r.n_removed for r in rows) == [0, 0, 0]
+
+
+def test_repeated_windows_query_on_the_given_table(spark, sf):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    got = sorted(tuple(r) for r in QUERIES["op12_repeated_windows"](spark, sf).collect())
+    want = sorted((k, *r) for k, r in zip(table["doc_id"], repeated_windows.brute_force(table["text"]), strict=True))
+    assert got == want

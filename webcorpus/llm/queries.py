@@ -14,6 +14,7 @@ from webcorpus.llm.oracles import ORACLES  # noqa: F401  registered beside the q
 from webcorpus.llm.packing import pack
 from webcorpus.llm.quality import fit, scored
 from webcorpus.llm.quality_rules import quality_rules
+from webcorpus.llm.repeated_windows import repeated_windows
 from webcorpus.llm.secret_scan import BASE_KINDS, secret_scan
 from webcorpus.llm.spelling import spelling_variants
 from webcorpus.llm.token_files import token_counts
@@ -106,6 +107,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -122,5 +127,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_repeated_windows": op12_repeated_windows,
     "op13_conversation_trie": op13_conversation_trie,
 }
