@@ -119,6 +119,17 @@ def test_robots_against_stdlib(spark):
     assert [got[u] for u in more] == [False, True, False, True, True]
 
 
+def test_robots_rules_are_read_inside_the_row(spark):
+    frame = spark.createDataFrame(
+        [("http://a", 200, "User-agent: *\nDisallow: /x"), ("http://b", 200, "User-agent: other\nDisallow: /"), ("http://c", 500, "")],
+        "base string, http_status int, body string",
+    )
+    rules = robots.robots_rules(frame)
+    plan = rules._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Generate" not in plan, plan
+    assert sorted((r.base, [(x.path, x.allow) for x in r.rules]) for r in rules.collect()) == [("http://a", [("/x", False)])]
+
+
 def brute_force_depths(edges, start, depth):
     seen, frontier = {start: 0}, [start]
     for level in range(1, depth + 1):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions import patterns, urls
@@ -51,44 +51,80 @@ def _after_host(clean: Column) -> Column:
     )
 
 
-def robots_rules(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
-    """``base, rules``: the rules that bind ``user_agent``, in file order.
+RULE = "struct<line_no:int,path:string,allow:boolean>"
+
+
+def _no_rules() -> Column:
+    return F.array().cast(f"array<{RULE}>")
+
 
-    Lines form groups: agents, then rules; an agent after a rule or after a blank line opens the next. The
-    first group naming the agent wins, the first ``*`` group is the fallback. A window sees the lines of one
-    file only, and its array goes back into one row per base, so that it can be joined one to one.
+def parsed_lines(body: Column) -> Column:
+    """``array<struct<line_no, event, value, path>>``: the blank, agent, rule and delay lines of a robots body, in order.
+
+    The same reading as ``robots_lines``, but inside the row: comments go, a line without a colon is no line.
     """
-    by_line = Window.partitionBy("base").orderBy("line_no")
-    before = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    opener = F.last(F.when(F.col("event").isin("agent", "blank"), F.col("event")), ignorenulls=True)
-    lines = robots_lines(robots).withColumns(
-        {"previous": F.lag("event").over(by_line), "opened_by": opener.over(before)}
-    )
-    open_group = F.col("opened_by") == "agent"
-    starts = (F.col("event") == "agent") & ~F.coalesce(F.col("previous") == "agent", F.lit(False))
-    binding = F.col("event").isin("allow", "disallow", "delay") & F.coalesce(open_group, F.lit(False))
-    lines = lines.withColumns(
-        {"group_no": F.sum(F.when(starts, 1).otherwise(0)).over(by_line), "binding": binding}
-    ).filter((F.col("event") == "agent") | F.col("binding"))
+    cut = F.transform(F.split(body, patterns.LINE_BREAK), lambda line, i: F.struct(
+        i.alias("line_no"), line.alias("raw"), urls.strip_space(F.regexp_replace(line, "(?s)#.*", "")).alias("text")
+    ))
+    field = lambda l: F.lower(urls.strip_space(F.substring_index(l["text"], ":", 1)))
+    read = F.transform(cut, lambda l: F.struct(
+        l["line_no"].alias("line_no"),
+        F.when(l["raw"] == "", "blank").when(~F.contains(l["text"], F.lit(":")), None)
+        .when(field(l) == "user-agent", "agent").when(field(l).isin("allow", "disallow"), field(l))
+        .when(field(l).isin("crawl-delay", "request-rate"), "delay").alias("event"),
+        urls.percent_decode(urls.strip_space(F.regexp_replace(l["text"], r"(?s)\A[^:]*+:", ""))).alias("value"),
+    ))
+    kept = F.filter(read, lambda l: l["event"].isNotNull())
+    return F.transform(kept, lambda l: F.struct(
+        l["line_no"], l["event"], l["value"],
+        F.when(l["event"].isin("allow", "disallow"), _rule_path(l["value"])).alias("path"),
+    ))
+
 
+def robots_rules(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
+    """``base, rules``: the rules that bind ``user_agent``, in file order; one row per readable file that has binding rules.
+
+    Lines form groups: agents, then rules; an agent after a rule or after a blank line opens the next. The first group naming
+    the agent wins, the first ``*`` group is the fallback. The lines are read by one fold over the row's own array, an
+    automaton whose state is the open group and the best closed group so far: no explode, no window, no exchange, one scan
+    of the robots table. The table holds one file per base, as ``robots_decisions`` assumes.
+    """
     token = F.lower(F.substring_index(F.lit(user_agent), "/", 1))
-    agent = F.when(F.col("event") == "agent", F.lower("value"))
-    rule = F.when(
-        F.col("event").isin("allow", "disallow"),
-        F.struct(
-            "line_no",
-            _rule_path(F.col("value")).alias("path"),
-            ((F.col("event") == "allow") | (F.col("value") == "")).alias("allow"),
-        ),
+    start = F.struct(
+        F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("opened"),
+        F.lit(False).alias("dflt"), F.lit(False).alias("named"), F.lit(False).alias("has"), _no_rules().alias("rules"),
+        F.lit(None).cast(f"struct<dflt:boolean,rules:array<{RULE}>>").alias("best"),
     )
-    groups = lines.groupBy("base", "group_no").agg(
-        F.max(F.coalesce(agent == "*", F.lit(False))).alias("is_default"),
-        F.max(F.coalesce(F.contains(token, agent), F.lit(False))).alias("names_agent"),
-        F.max("binding").alias("has_rules"),
-        F.sort_array(F.collect_list(rule)).alias("rules"),
-    )
-    usable = groups.filter(F.col("has_rules") & (F.col("is_default") | F.col("names_agent")))
-    return usable.groupBy("base").agg(F.min_by("rules", F.struct("is_default", "group_no")).alias("rules"))
+
+    def closed(acc: Column) -> Column:
+        """The best group once the open one is closed: a named group beats any default, else the earlier one wins."""
+        usable = acc["has"] & (acc["dflt"] | acc["named"])
+        better = usable & (acc["best"].isNull() | (acc["best"]["dflt"] & ~acc["dflt"]))
+        return F.when(better, F.struct(acc["dflt"].alias("dflt"), acc["rules"].alias("rules"))).otherwise(acc["best"])
+
+    def step(acc: Column, line: Column) -> Column:
+        event = line["event"]
+        opens = (event == "agent") & F.coalesce(acc["prev"] != "agent", F.lit(True))
+        binding = event.isin("allow", "disallow", "delay") & F.coalesce(acc["opened"] == "agent", F.lit(False))
+        agent = F.when(event == "agent", F.lower(line["value"]))
+        kept = lambda name: F.when(opens, F.lit(False)).otherwise(acc[name])
+        rule = F.struct(line["line_no"].alias("line_no"), line["path"].alias("path"), ((event == "allow") | (line["value"] == "")).alias("allow"))
+        return F.struct(
+            event.alias("prev"),
+            F.when(event.isin("agent", "blank"), event).otherwise(acc["opened"]).alias("opened"),
+            (kept("dflt") | F.coalesce(agent == "*", F.lit(False))).alias("dflt"),
+            (kept("named") | F.coalesce(F.contains(token, agent), F.lit(False))).alias("named"),
+            (kept("has") | binding).alias("has"),
+            F.concat(
+                F.when(opens, _no_rules()).otherwise(acc["rules"]),
+                F.when(binding & event.isin("allow", "disallow"), F.array(rule)).otherwise(_no_rules()),
+            ).alias("rules"),
+            F.when(opens, closed(acc)).otherwise(acc["best"]).alias("best"),
+        )
+
+    rules = F.aggregate(parsed_lines(F.col("body")), start, step, lambda acc: closed(acc)["rules"])
+    readable = robots.filter(F.col("http_status") < 400)
+    return readable.select("base", rules.alias("rules")).where(F.col("rules").isNotNull())
 
 
 def robots_decisions(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
