@@ -52,7 +52,8 @@ def bigrams(words: DataFrame) -> DataFrame:
 
 
 def pivots_and_prefixes(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(pivots, prefixes)``, both ``word, len, pos, gram``: two pivots of every word, and its whole prefix.
+    """``(pivots, prefixes)``, both ``word, len, pos, gram, _f3, _g3``: two pivots of every word, its whole prefix, and the
+    (count, bigram) of its third bigram, which ends the prefix.
 
     The order of bigrams is (number of words holding it, bigram, position). The prefix keeps every bigram whose (count, bigram)
     is no later than the third's. The pivots are the disjoint pair of the prefix of smallest summed count (ties: earliest ranks).
@@ -67,7 +68,7 @@ def pivots_and_prefixes(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("word").orderBy("freq", "gram", "pos")))
     third = ranked.where("_rank = 3").select("word", F.col("freq").alias("_f3"), F.col("gram").alias("_g3"))
     prefixes = ranked.join(third, "word").where("freq < _f3 OR (freq = _f3 AND gram <= _g3)")
-    prefixes = written(prefixes.select("word", "len", "pos", "gram", "freq", "_rank"), "spelling-prefixes")
+    prefixes = written(prefixes.select("word", "len", "pos", "gram", "freq", "_rank", "_f3", "_g3"), "spelling-prefixes")
     listed = prefixes.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("_rank", "pos", "freq"))).alias("_pre"))
     pair = lambda x, y: f"named_struct('c', {x}.freq + {y}.freq, 'a', least({x}._rank, {y}._rank), 'b', greatest({x}._rank, {y}._rank))"
     choose = F.expr(
@@ -78,17 +79,28 @@ def pivots_and_prefixes(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     chosen = listed.select("word", choose.alias("_p")).select("word", F.array("_p.a", "_p.b").alias("_ranks"))
     pivots = prefixes.join(chosen, "word").where(F.array_contains("_ranks", F.col("_rank")))
-    return pivots.select("word", "len", "pos", "gram"), prefixes.select("word", "len", "pos", "gram")
+    return pivots.select("word", "len", "pos", "gram", "_f3", "_g3"), prefixes.select("word", "len", "pos", "gram", "_f3", "_g3")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """``a, b``: ordered pairs of distinct words exactly one edit apart, both ways. Candidates are verified, so none is wrong."""
+    """``a, b``: ordered pairs of distinct words exactly one edit apart, both ways. Candidates are verified, so none is wrong.
+
+    A pivot of ``a`` meets the prefix of ``b`` only where ``a``'s prefix ends no later than ``b``'s: the lemma needs no other
+    direction, and the pair is found from the other side otherwise. One edit moves a surviving bigram by at most one place, and
+    only in step with the length: the same place at the same length (a replacement), the same place or one later at one more
+    (an insertion), the same place or one earlier at one less (a deletion). Those five shifts are the join keys.
+    """
     pivots, prefixes = pivots_and_prefixes(words)
-    shift = F.explode(F.array(*[F.struct(F.lit(d).alias("dp"), F.lit(e).alias("dl")) for d in (-1, 0, 1) for e in (-1, 0, 1)]))
-    spread = pivots.select("word", "gram", shift.alias("_s"), "pos", "len").select(
-        F.col("word").alias("a"), "gram", (F.col("pos") + F.col("_s.dp")).alias("pos"), (F.col("len") + F.col("_s.dl")).alias("len")
+    shifts = [(0, 0), (0, 1), (1, 1), (0, -1), (-1, -1)]
+    shift = F.explode(F.array(*[F.struct(F.lit(d).alias("dp"), F.lit(e).alias("dl")) for d, e in shifts]))
+    spread = pivots.select("word", "gram", shift.alias("_s"), "pos", "len", "_f3", "_g3").select(
+        F.col("word").alias("a"), "gram", (F.col("pos") + F.col("_s.dp")).alias("pos"), (F.col("len") + F.col("_s.dl")).alias("len"),
+        F.col("_f3").alias("_af3"), F.col("_g3").alias("_ag3"),
     )
-    met = spread.join(prefixes.withColumnRenamed("word", "b"), ["gram", "pos", "len"]).where("a <> b").select("a", "b")
+    other = prefixes.select(F.col("word").alias("b"), "gram", "pos", "len", F.col("_f3").alias("_bf3"), F.col("_g3").alias("_bg3"))
+    keys = ["gram", "pos", "len"]
+    earlier = (F.col("_af3") < F.col("_bf3")) | ((F.col("_af3") == F.col("_bf3")) & (F.col("_ag3") <= F.col("_bg3")))
+    met = spread.join(other, [spread[k] == other[k] for k in keys]).where(earlier & (F.col("a") != F.col("b"))).select("a", "b")
     found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = found.where(F.levenshtein("a", "b", TAU) == 1)
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
