@@ -130,6 +130,36 @@ def test_robots_rules_are_read_inside_the_row(spark):
     assert sorted((r.base, [(x.path, x.allow) for x in r.rules]) for r in rules.collect()) == [("http://a", [("/x", False)])]
 
 
+def test_scripts_are_addressed_by_content(spark):
+    lib = 'fetch("/api/v1/x");var k="/graphql/q";'
+    js_urls = spark.createDataFrame(
+        [(f"http://p{i}", f"http://cdn{i}/lib.js") for i in range(6)] + [("http://p", "http://h/a.js"), ("http://p", "http://h/b.js")],
+        "page_url string, js_url string",
+    )
+    js_assets = spark.createDataFrame(
+        [(f"http://cdn{i}/lib.js", 200, lib) for i in range(6)] + [("http://cdn0/lib.js", 200, lib)]
+        + [("http://h/a.js", 200, 'fetch("/a")'), ("http://h/a.js", 200, 'fetch("/b")'), ("http://h/b.js", 404, 'fetch("/c")'),
+           ("http://other/z.js", 200, 'fetch("/z")')],
+        "url string, status int, body string",
+    )
+    scripts = assets.script_dictionary(js_urls, js_assets)
+    assert scripts.bodies.count() == 2
+    joined = sorted(map(tuple, assets.js_asset_join(js_urls, js_assets).collect()))
+    assert joined == sorted([(f"http://cdn{i}/lib.js", lib) for i in range(6)] + [("http://h/a.js", 'fetch("/b")')])
+    found = sorted(map(tuple, assets.searched(scripts, extract.endpoints).collect()))
+    plain = sorted(map(tuple, extract.endpoints(assets.js_asset_join(js_urls, js_assets)).collect()))
+    assert found == plain and {r[0] for r in found} >= {f"http://cdn{i}/lib.js" for i in range(6)}
+
+
+def test_latest_script_capture_wins(spark):
+    js_urls = spark.createDataFrame([("http://p", "http://h/a.js")], "page_url string, js_url string")
+    js_assets = spark.createDataFrame(
+        [("http://h/a.js", 200, "zzz", 1), ("http://h/a.js", 200, "aaa", 2), ("http://h/a.js", 200, "bbb", 2)],
+        "url string, status int, body string, at int",
+    )
+    assert [tuple(r) for r in assets.js_asset_join(js_urls, js_assets, "at").collect()] == [("http://h/a.js", "bbb")]
+
+
 def brute_force_depths(edges, start, depth):
     seen, frontier = {start: 0}, [start]
     for level in range(1, depth + 1):

@@ -50,10 +50,14 @@ def _assets(spark, sf_dir):
     return assets.js_asset_join(extract.js_files(_deco(spark, sf_dir)), table(spark, sf_dir, "js_assets"))
 
 
-def _scripts(spark, sf_dir):
-    """Script texts to search: inline blocks and captured assets, one frame for both."""
+def _dictionary(spark, sf_dir):
+    return assets.script_dictionary(extract.js_files(_deco(spark, sf_dir)), table(spark, sf_dir, "js_assets"))
+
+
+def _searched_scripts(spark, sf_dir, search):
+    """``search`` over inline blocks and captured assets; each distinct asset body is searched once."""
     inline = extract.inline_scripts(_deco(spark, sf_dir)).select(F.col("page_url").alias("source"), "body")
-    return inline.unionByName(_assets(spark, sf_dir))
+    return search(inline).unionByName(assets.searched(_dictionary(spark, sf_dir), search))
 
 
 def _exposed(spark, sf_dir):
@@ -229,17 +233,18 @@ def secrets_pages(spark, sf_dir):
     inline = extract.inline_scripts(pages).select(
         F.concat("page_url", F.lit(" (inline script)")).alias("source"), "body"
     )
-    return extract.secrets(raw.unionByName(inline).unionByName(_assets(spark, sf_dir)))
+    return extract.secrets(raw.unionByName(inline)).unionByName(assets.searched(_dictionary(spark, sf_dir), extract.secrets))
 
 
 @query
 def endpoints_all(spark, sf_dir):
-    return extract.endpoints(_scripts(spark, sf_dir)).distinct()
+    return _searched_scripts(spark, sf_dir, extract.endpoints).distinct()
 
 
 def _endpoints_query(category):
     def run(spark, sf_dir):
-        return extract.endpoints(_scripts(spark, sf_dir), (category,)).select("source", "value").distinct()
+        found = _searched_scripts(spark, sf_dir, lambda scripts: extract.endpoints(scripts, (category,)))
+        return found.select("source", "value").distinct()
 
     return run
 

@@ -131,15 +131,18 @@ def page_findings(pages: DataFrame, key: str | None = "page_id") -> DataFrame:
 
 
 def asset_findings(js_urls: DataFrame, js_assets: DataFrame) -> DataFrame:
-    """Endpoints and secrets of the captured scripts that the pages refer to."""
-    scripts = assets.js_asset_join(js_urls, js_assets)
+    """Endpoints and secrets of the captured scripts that the pages refer to.
+
+    Each distinct body is searched once, under its digest; its findings then go to every URL that serves it.
+    """
+    scripts = assets.script_dictionary(js_urls, js_assets)
     endpoints = f"""transform({texts.endpoints_sql('body')}, (e, i) -> {_finding(
         'js_endpoint_findings', 'e.value', 'i', 'source', 'e.category')})"""
     secrets = f"transform({texts.secrets_sql('body')}, (h, i) -> {_secret('h', 'source', 'i')})"
-    found = scripts.select(
+    search = lambda bodies: bodies.select(
         F.lit(None).cast("bigint").alias("page_key"), F.inline(F.expr(f"concat({endpoints}, {secrets})"))
     )
-    return found.select(*COLUMNS)
+    return assets.searched(scripts, search).select(*COLUMNS)
 
 
 def corpus_findings(
