@@ -160,6 +160,29 @@ def test_latest_script_capture_wins(spark):
     assert [tuple(r) for r in assets.js_asset_join(js_urls, js_assets, "at").collect()] == [("http://h/a.js", "bbb")]
 
 
+def test_overlay_of_bucketed_tables_moves_nothing(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS captures LOCATION '{tmp_path}/warehouse'")
+    pages = spark.createDataFrame(
+        [(i, f"http://h/{i % 7}", f"<p>{i}</p>") for i in range(40)] + [(99, None, "<p>x</p>")], "page_id long, url string, html string"
+    )
+    rendered = spark.createDataFrame(
+        [(f"http://h/{i % 5}", f"<b>{i}</b>", i) for i in range(12)] + [("http://elsewhere/", "<b>e</b>", 1)],
+        "url string, html string, at int",
+    )
+    assets.write_by_url(pages, "captures.pages", 4)
+    assets.write_latest_by_url(rendered, "captures.rendered", 4, captured_at="at")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    try:
+        got = assets.overlay_written(spark.table("captures.pages"), spark.table("captures.rendered"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+    assert rows == sorted(map(tuple, assets.render_overlay(pages, rendered, "at").collect()))
+    spark.sql("DROP DATABASE captures CASCADE")
+
+
 def brute_force_depths(edges, start, depth):
     seen, frontier = {start: 0}, [start]
     for level in range(1, depth + 1):

@@ -72,12 +72,29 @@ def write_by_url(captures: DataFrame, table: str, buckets: int) -> None:
     captures.write.bucketBy(buckets, "url").sortBy("url").mode("overwrite").saveAsTable(table)
 
 
+def write_latest_by_url(captures: DataFrame, table: str, buckets: int, value: str = "html", captured_at: str | None = None) -> None:
+    """Save the latest capture of each URL (``url, value``) bucketed and sorted by URL: copies are reduced as they are written,
+    so a join with them later is one to one and moves nothing."""
+    write_by_url(latest(captures, value, captured_at).select("url", value), table, buckets)
+
+
 def render_overlay(pages: DataFrame, rendered: DataFrame, captured_at: str | None = None) -> DataFrame:
     """Pages with their html replaced where a rendered copy of the URL exists; the last one if there are several.
 
-    Both sides carry html: tables of this size are best written by ``write_by_url``.
+    Both sides carry html: for large tables write the pages with ``write_by_url`` and the copies with ``write_latest_by_url``
+    into the same number of buckets, and join them with ``overlay_written``.
     """
-    copies = latest(rendered, "html", captured_at).select("url", F.col("html").alias("_rendered"))
+    return _overlaid(pages, latest(rendered, "html", captured_at))
+
+
+def overlay_written(pages: DataFrame, copies: DataFrame) -> DataFrame:
+    """The overlay of two tables bucketed by URL into equal numbers of buckets, ``copies`` with one row per URL: a join within
+    each bucket, without an exchange; html of pages without a copy stays where it was read."""
+    return _overlaid(pages, copies)
+
+
+def _overlaid(pages: DataFrame, copies: DataFrame) -> DataFrame:
+    copies = copies.select("url", F.col("html").alias("_rendered"))
     return pages.join(copies, "url", "left").select(
         *[
             F.coalesce("_rendered", "html").alias("html") if name == "html" else F.col(name)
