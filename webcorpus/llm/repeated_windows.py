@@ -88,36 +88,65 @@ def chunks(data: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarr
         yield first, anchor[starts], starts, ends
 
 
+def surroundings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Fingerprint of the bytes that any window with its anchor at ``at`` can cover: 368 before, 400 from it, cut at the ends
+    of the text, together with where the cut falls. Equal surroundings mean equal windows at every offset."""
+    n = len(data)
+    lo, hi = np.maximum(at - (WINDOW - ANCHOR), 0), np.minimum(at + WINDOW, n)
+    out = np.empty(len(at), np.uint64)
+    whole = (at - (WINDOW - ANCHOR) >= 0) & (at + WINDOW <= n)
+    if whole.any():
+        first = int(at[whole].min()) - (WINDOW - ANCHOR)
+        region = data[first : int(at[whole].max()) + WINDOW]
+        out[whole] = fingerprints(region, 2 * WINDOW - ANCHOR)[at[whole] - (WINDOW - ANCHOR) - first]
+    for j in np.flatnonzero(~whole):
+        out[j] = fingerprints(data[lo[j] : hi[j]], hi[j] - lo[j])[0]
+    with np.errstate(over="ignore"):
+        return mixed(out ^ mixed((at - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - at).astype(np.uint64)))
+
+
 def anchors(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``tid, a, anchor, s, e`` of ``texts(tid, data binary)``: each anchor and the window starts it stands for."""
+    """``tid, a, anchor, ctx, s, e`` of ``texts(tid, data binary)``: each anchor, its surroundings and the window starts it
+    stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"tid": [], "a": [], "anchor": [], "s": [], "e": []}
+            out: dict[str, list] = {"tid": [], "a": [], "anchor": [], "ctx": [], "s": [], "e": []}
             for tid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.frombuffer(blob, np.uint8)
+                begun = len(out["a"])
                 for first, at, starts, ends in chunks(data, chunk):
+                    if len(out["a"]) > begun and out["a"][-1] == first + at[0]:
+                        # An anchor on both sides of a chunk's edge is one occurrence: its intervals meet.
+                        out["e"][-1] = first + int(ends[0])
+                        at, starts, ends = at[1:], starts[1:], ends[1:]
+                        if not len(at):
+                            continue
                     prints = fingerprints(data[first + at.min() : first + at.max() + ANCHOR], ANCHOR)[at - at.min()]
                     out["tid"].extend([tid] * len(at))
                     out["a"].extend((first + at).tolist())
                     out["anchor"].extend(prints.view(np.int64).tolist())
+                    out["ctx"].extend(surroundings(data, first + at).view(np.int64).tolist())
                     out["s"].extend((first + starts).tolist())
                     out["e"].extend((first + ends).tolist())
             yield pa.RecordBatch.from_pydict(out, schema=ANCHORS)
 
-    return texts.mapInArrow(run, "tid string, a long, anchor long, s long, e long")
+    return texts.mapInArrow(run, "tid binary, a long, anchor long, ctx long, s long, e long")
 
 
-ANCHORS = pa.schema([("tid", pa.string()), ("a", pa.int64()), ("anchor", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+ANCHORS = pa.schema(
+    [("tid", pa.binary()), ("a", pa.int64()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]
+)
 SUFFIXES = pa.schema(
-    [("tid", pa.string()), ("i", pa.int64()), ("g", pa.int64())] + [(f"d{k}", pa.int64()) for k in range(WINDOW // DIGIT)]
+    [("tid", pa.binary()), ("i", pa.int64()), ("w", pa.int64()), ("g", pa.int64())] + [(f"d{k}", pa.int64()) for k in range(WINDOW // DIGIT)]
 )
 
 
 def suffixes(texts: DataFrame, kept: DataFrame) -> DataFrame:
     """``tid, i, g, d0..d3``: window starts whose anchor repeats, their first group (anchor and offset) and their digits.
 
-    ``kept(tid, spans array<struct<s, e, a>>)`` names the intervals of window starts to emit.
+    ``kept(tid, spans array<struct<s, e, a, w>>)`` names the intervals of window starts to emit; ``w`` counts the occurrences
+    of the anchor with the same surroundings, which this one stands for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,27 +163,31 @@ def suffixes(texts: DataFrame, kept: DataFrame) -> DataFrame:
                     with np.errstate(over="ignore"):
                         group = mixed(head ^ mixed((a - s - starts).astype(np.uint64) + np.uint64(1)))
                     parts["i"].append(s + starts)
+                    parts["w"].append(np.full(len(starts), span["w"], np.int64))
                     held += len(starts)
                     parts["g"].append(group.view(np.int64))
                     for k in range(WINDOW // DIGIT):
                         parts[f"d{k}"].append(digits[starts + k * DIGIT].view(np.int64))
                     if held >= BATCH or span is spans[-1]:
                         columns = {name: np.concatenate(values) for name, values in parts.items()}
-                        columns["tid"] = pa.array([tid] * len(columns["i"]), pa.string())
+                        columns["tid"] = pa.array([tid] * len(columns["i"]), pa.binary())
                         yield pa.RecordBatch.from_pydict(columns, schema=SUFFIXES)
                         parts, held = {name: [] for name in parts}, 0
 
-    schema = "tid string, i long, g long, " + ", ".join(f"d{k} long" for k in range(WINDOW // DIGIT))
+    schema = "tid binary, i long, w long, g long, " + ", ".join(f"d{k} long" for k in range(WINDOW // DIGIT))
     return texts.join(kept, "tid").select("tid", "data", "spans").mapInArrow(run, schema)
 
 
 def radix_passes(rows: DataFrame) -> DataFrame:
-    """``tid, i`` of suffixes whose group survives every digit: most significant digit first, groups of one leave each pass."""
-    for k in range(WINDOW // DIGIT):
-        keyed = rows.withColumn("g", F.xxhash64("g", f"d{k}"))
-        many = keyed.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g")
-        rows = written(keyed.join(many, "g", "left_semi"), "window-pass")
-    return rows.select("tid", "i")
+    """``tid, i, w`` of suffixes whose group survives every digit: most significant digit first, groups that stand for one
+    window leave each pass. Each pass is written without the digit it used, so the table shrinks in rows and columns and a
+    lost executor costs one pass."""
+    digits = [f"d{k}" for k in range(WINDOW // DIGIT)]
+    for k, digit in enumerate(digits):
+        keyed = rows.withColumn("g", F.xxhash64("g", digit)).drop(digit)
+        many = keyed.groupBy("g").agg(F.sum("w").alias("_n")).where("_n > 1").select("g")
+        rows = written(keyed.join(many, "g", "left_semi").select("tid", "i", "w", "g", *digits[k + 1 :]), "window-pass")
+    return rows.select("tid", "i", "w")
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -164,23 +197,33 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     in the same text or another one, overlaps included; windows are judged on the input. ``n_spans`` counts maximal removed
     runs, ``kept_sha256`` hashes the remaining bytes. Equal rows are copies of each other, so a text of at least 400 bytes that
     occurs twice loses everything. Texts under 400 bytes keep everything. Null keys stay rows with a null ``doc_id``; other
-    columns are not read. An empty table gives an empty result. A text is named by its SHA-256.
+    columns are not read. An empty table gives an empty result. A text is named by the first 16 bytes of its SHA-256.
     """
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).alias("doc_id"), F.sha2(data, 256).alias("tid"))
+    name = lambda blob: F.unhex(F.substring(F.sha2(blob, 256), 1, 32))
+    rows = docs.select(F.col(key).alias("doc_id"), name(data).alias("tid"))
     grouped = docs.select(data.alias("data")).groupBy("data").agg(F.count("*").alias("copies"))
-    texts = written(grouped.select(F.sha2("data", 256).alias("tid"), "data", "copies"), "window-texts")
+    texts = written(grouped.select(name(F.col("data")).alias("tid"), "data", "copies"), "window-texts")
     found = written(anchors(texts.where(F.length("data") >= WINDOW).select("tid", "data"), chunk), "window-anchors")
-    often = found.select("anchor", "tid", "a").distinct().groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1")
-    kept = found.join(often.select("anchor"), "anchor", "left_semi").groupBy("tid").agg(
-        F.collect_list(F.struct("s", "e", "a")).alias("spans")
-    )
-    starts = written(radix_passes(suffixes(texts, kept)), "window-starts")
-    # Gaps and islands over repeated window starts: a run ends where the next start lies beyond the window.
-    by_text = Window.partitionBy("tid").orderBy("i")
-    runs = starts.select("tid", "i", F.coalesce(F.col("i") - F.lag("i").over(by_text) > WINDOW, F.lit(True)).alias("_new"))
-    runs = runs.select("tid", "i", F.sum(F.col("_new").cast("int")).over(by_text).alias("_run"))
-    spans = runs.groupBy("tid", "_run").agg(F.min("i").alias("s"), (F.max("i") + WINDOW).alias("e"))
+    often = found.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1")
+    # Occurrences of one anchor with equal surroundings have equal windows: one of them is sorted for all, weighed by
+    # their number, and if there are two or more, all their windows repeat without being sorted.
+    repeated = found.join(often.select("anchor"), "anchor", "left_semi")
+    alike = written(repeated.groupBy("anchor", "ctx").agg(
+        F.count("*").alias("w"), F.min(F.struct("tid", "a")).alias("_rep")
+    ), "window-alike")
+    whole_spans = repeated.join(alike.where("w > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("tid", "s", "e")
+    kept = repeated.join(alike.select("anchor", "ctx", "w", "_rep"), ["anchor", "ctx"]).where(
+        (F.col("_rep.tid") == F.col("tid")) & (F.col("_rep.a") == F.col("a"))
+    ).groupBy("tid").agg(F.collect_list(F.struct("s", "e", "a", "w")).alias("spans"))
+    sorted_starts = radix_passes(suffixes(texts, kept)).where("w = 1").select("tid", F.col("i").alias("s"), F.col("i").alias("e"))
+    starts = written(whole_spans.unionByName(sorted_starts), "window-starts")
+    # Gaps and islands over intervals of repeated window starts: a run ends where the next start lies beyond every window so far.
+    by_text = Window.partitionBy("tid").orderBy("s", "e")
+    reach = F.max("e").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    runs = starts.select("tid", "s", "e", F.coalesce(F.col("s") - reach > WINDOW, F.lit(True)).alias("_new"))
+    runs = runs.select("tid", "s", "e", F.sum(F.col("_new").cast("int")).over(by_text.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"))
+    spans = runs.groupBy("tid", "_run").agg(F.min("s").alias("s"), (F.max("e") + WINDOW).alias("e"))
     spans = spans.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("s"), F.length("data").cast("bigint").alias("e")))
     judged = texts.join(spans, "tid", "left").select(
