@@ -352,6 +352,30 @@ def test_visited_urls_are_exact_and_go_on_after_a_stop(spark, tmp_path):
             spark.conf.unset(key)
 
 
+def test_visited_set_in_batches_resumes_and_writes_once(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS crawl LOCATION '{tmp_path}/warehouse'")
+    rng = random.Random(9)
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "url string").coalesce(1)
+    old = [f"u{i}" for i in range(200)]
+    for k in range(4):
+        frame(rng.sample(old, 200 if k else 150) + ["hot"] * 50 + [None]).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    try:
+        first = ingest.visited_in_batches(stream(), "crawl.visited", str(tmp_path / "out"), buckets=4)
+        assert sorted(r.url for r in first.collect()) == sorted([*old, "hot"])
+        frame(["u3", "new", "new"]).write.mode("append").parquet(str(tmp_path / "in"))
+        again = ingest.visited_in_batches(stream(), "crawl.visited", str(tmp_path / "out"), buckets=4)
+        assert sorted(r.url for r in again.collect()) == sorted([*old, "hot", "new"])  # each URL stored once
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = ingest.unseen(frame(["hot"] * 9 + ["x"]), "crawl.visited", 7, 4)._jdf.queryExecution().executedPlan().toString()
+        scan = [line for line in plan.splitlines() if "crawl.visited" in line]
+        assert len(scan) == 1 and "Bucketed: true" in scan[0], plan
+        assert plan.count("Exchange") == 1 and "HashAggregate" in plan.split("Exchange")[1], plan  # partial first, then dealt
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE crawl CASCADE")
+
+
 def test_a_url_captured_twice_counts_once(spark):
     js = spark.createDataFrame([("p", "a")], "page_url string, js_url string")
     stored = spark.createDataFrame([("a", 200, "old", 2), ("a", 200, "new", 5), ("a", 404, "gone", 9)], "url string, status int, body string, at int")

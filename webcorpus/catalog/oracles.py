@@ -464,4 +464,5 @@ ORACLES = {
         _GATED_DECO,
     ),
     "stream_visited": _oracle("SELECT DISTINCT url FROM page_links", _RAW),
+    "stream_visited_batches": _oracle("SELECT DISTINCT url FROM page_links WHERE url IS NOT NULL", _RAW),
 }

@@ -479,3 +479,12 @@ def stream_findings(spark, sf_dir):
 def stream_visited(spark, sf_dir):
     links = ingest.linked_urls(_page_stream(spark, sf_dir))
     return ingest.run_available(ingest.visited_urls(links), new_folder(spark, "stream-visited"))
+
+
+@query
+def stream_visited_batches(spark, sf_dir):
+    """The visited set of the page stream in two levels: distinct within a micro-batch, then against the stored set."""
+    links = ingest.linked_urls(_page_stream(spark, sf_dir))
+    folder = new_folder(spark, "stream-visited")
+    table = "visited_" + folder.rsplit("-", 1)[-1]
+    return ingest.visited_in_batches(links, table, folder).select("url")

@@ -28,6 +28,42 @@ def visited_urls(links: DataFrame) -> DataFrame:
     return links.select("url").dropDuplicates(["url"])
 
 
+def visited_in_batches(links: DataFrame, table: str, folder: str, buckets: int = 64) -> DataFrame:
+    """The visited set in two levels: each micro-batch first makes its URLs distinct (a partial aggregate in every input task, so
+    a URL that every page links to leaves each task once), then keeps those not yet in ``table`` and adds them.
+
+    ``table`` is bucketed by URL into ``buckets`` and partitioned by micro-batch; the batch's distinct URLs are dealt by the same
+    hash, so the anti join reads the stored set bucket by bucket without an exchange on its side. A micro-batch that runs again
+    after a failure overwrites its own partition and ignores it in the comparison: nothing is written twice. Progress and the
+    stored set lie in ``folder``, on storage all executors share; ``table`` names it in the catalog. Returns ``url, batch``.
+    """
+    spark = links.sparkSession
+    if not spark.catalog.tableExists(table):
+        empty = spark.createDataFrame([], "url string, batch long")
+        empty.write.partitionBy("batch").bucketBy(buckets, "url").sortBy("url").option("path", f"{folder}/visited").saveAsTable(table)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        new = unseen(batch, table, batch_id, buckets)
+        mode = session.conf.get("spark.sql.sources.partitionOverwriteMode")
+        session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            new.write.insertInto(table, overwrite=True)
+        finally:
+            session.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+
+    query = links.select("url").writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(table)
+
+
+def unseen(batch: DataFrame, table: str, batch_id: int, buckets: int) -> DataFrame:
+    """``url, batch``: distinct URLs of ``batch`` that ``table`` holds from no other micro-batch, dealt like its buckets."""
+    fresh = batch.where(F.col("url").isNotNull()).select("url").distinct().repartition(buckets, "url")
+    known = batch.sparkSession.table(table).where(F.col("batch") != batch_id).select("url")
+    return fresh.join(known, "url", "left_anti").select("url", F.lit(batch_id).cast("bigint").alias("batch"))
+
+
 def first_visits(links: DataFrame, event_time: str, delay: str = "1 day", spread_by: str | None = None) -> DataFrame:
     """First sighting of each URL within a time, for streams whose event time can be trusted; else ``visited_urls``.
 
