@@ -325,7 +325,7 @@ def _full_run() -> str:
     walked = f"""WITH RECURSIVE followed AS ({followed}),
         walk(url, depth) AS (SELECT regexp_extract(url, '^[^#]*'), 0 FROM pages WHERE page_id % 50 = 0
         UNION SELECT f.dst, w.depth + 1 FROM walk AS w JOIN followed AS f ON f.src = w.url WHERE w.depth < 6)
-        SELECT url FROM (SELECT url, min(depth) AS depth FROM walk GROUP BY url) ORDER BY depth, url LIMIT 40"""
+        SELECT url FROM (SELECT url, min(depth) AS depth FROM walk GROUP BY url) ORDER BY depth, url LIMIT (SELECT greatest(count(*) // 10, 1) FROM nodes)"""
     reached = f"""(SELECT d.page_id, d.url, d.status, d.content_type, coalesce(r.html, d.html) AS html
         FROM deco AS d LEFT JOIN rendered AS r ON r.url = d.url
         WHERE regexp_extract(d.url, '^[^#]*') IN ({walked})) AS reached"""
@@ -412,7 +412,7 @@ ORACLES = {
     "exposed_files": _oracle("SELECT url, status, content_length FROM exposed"),
     "robots_allowed": _oracle(f"SELECT p.page_id, p.url, {_ROBOTS}"),
     "crawl_depth": _crawl_oracle(_CRAWL),
-    "crawl_capped": _crawl_oracle(f"SELECT url, depth FROM ({_CRAWL}) ORDER BY depth, url LIMIT 40"),
+    "crawl_capped": _crawl_oracle(f"SELECT url, depth FROM ({_CRAWL}) ORDER BY depth, url LIMIT (SELECT greatest(count(*) // 10, 1) FROM nodes)"),
     "param_flags": _oracle(
         f"SELECT DISTINCT name, {_IDOR} AS is_idor, {_ADMIN} AS is_admin FROM names", _DECO
     ),

@@ -296,7 +296,11 @@ def robots_allowed(spark, sf_dir):
 # --- Link graph --------------------------------------------------------------------------------------
 
 
-CAP = 40
+CAP_SHARE = 10  # the page cap is a tenth of the pages, so that the capped crawl grows with the table
+
+
+def _cap(spark, sf_dir):
+    return max(1, table(spark, sf_dir, "nodes").count() // CAP_SHARE)
 
 
 def _start(spark, sf_dir):
@@ -322,7 +326,7 @@ def crawl_depth(spark, sf_dir):
 
 @query
 def crawl_capped(spark, sf_dir):
-    return crawl.crawl_capped(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, max_pages=CAP)
+    return crawl.crawl_capped(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, max_pages=_cap(spark, sf_dir))
 
 
 # --- Classification ----------------------------------------------------------------------------------
@@ -421,7 +425,7 @@ def full_run_summary(spark, sf_dir):
         scope.allowed_domains(spark, TARGET),
         _start(spark, sf_dir),
         max_depth=6,
-        max_pages=CAP,
+        max_pages=_cap(spark, sf_dir),
         robots_files=table(spark, sf_dir, "robots"),
         known_links=_known_links(spark, sf_dir),
         rendered=table(spark, sf_dir, "rendered"),

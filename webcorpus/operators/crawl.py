@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.operators import extract, robots, scope
 from webcorpus.operators.joins import measure
+from webcorpus.plans.report import numbered
 from webcorpus.session import written
 
 
@@ -62,9 +63,25 @@ def crawl_depth(edges: DataFrame, start: DataFrame, max_depth: int = 3, enough:
 
 
 def crawl_capped(edges: DataFrame, start: DataFrame, max_depth: int = 3, max_pages: int = 300) -> DataFrame:
-    """The first ``max_pages`` URLs in ``(depth, url)`` order: a crawl with a page cap, a top-k.
+    """The first ``max_pages`` URLs in ``(depth, url)`` order: a crawl with a page cap.
 
-    Whole levels are walked until they hold enough URLs; deeper ones could not be among the first.
+    Whole levels are walked until they hold enough URLs; deeper ones could not be among the first. The cut is found from the
+    counts of the levels (one row each): levels before it are kept whole, and of the cutting level only the first URLs in URL
+    order, numbered exactly by range partitions. No sort of all visited URLs, no top-k in one task, whatever the cap.
     """
-    visited = crawl_depth(edges, start, max_depth, enough=max_pages)
-    return visited.orderBy("depth", "url").limit(max_pages)
+    visited = written(crawl_depth(edges, start, max_depth, enough=max_pages), "visited")
+    before, cut, room = 0, None, 0
+    for depth, n in sorted(tuple(r) for r in visited.groupBy("depth").count().collect()):
+        if before + n > max_pages:
+            cut, room = depth, max_pages - before
+            break
+        before += n
+    if cut is None:
+        kept = visited
+    elif room == 0:
+        kept = visited.where(F.col("depth") < cut)
+    else:
+        part = numbered(visited.where(F.col("depth") == cut), "depth", ["url"]).where(F.col("pos") < room).drop("pos")
+        kept = visited.where(F.col("depth") < cut).unionByName(part)
+    # In (depth, url) order: a range sort over the kept rows, not a top-k in one task.
+    return kept.orderBy("depth", "url")
