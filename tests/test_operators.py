@@ -376,6 +376,27 @@ def test_visited_set_in_batches_resumes_and_writes_once(spark, tmp_path):
         spark.sql("DROP DATABASE crawl CASCADE")
 
 
+def test_every_line_is_a_capture_or_an_error(spark, tmp_path):
+    lines = [
+        '{"page_id": 1, "url": "http://h/a", "html": "<p>a</p>", "status": 200}',
+        '{"page_id": 2, "url": "http://h/b", "html": "<p>b", ',
+        '{"page_id": "three", "url": "http://h/c", "html": "x", "status": 200}',
+        "not json at all",
+        "",
+        '{"page_id": 4, "url": "http://h/d", "error": "timeout", "ts": "2024-01-02 00:00:00"}',
+    ]
+    (tmp_path / "c.json").write_text("\n".join(lines) + "\n")
+    got = captures.read_captures(spark, str(tmp_path))
+    rows = sorted(((r.url, r.error is None, r.html) for r in got.collect()), key=str)
+    assert len(rows) == 5  # the blank line is no record
+    assert (("http://h/a", True, "<p>a</p>")) in rows and sum(1 for r in rows if r[1]) == 1
+    errors = {r.url: r.error for r in captures.page_errors_latest(got).collect()}
+    assert errors["http://h/d"] == "timeout"
+    assert errors["http://h/b"].startswith(captures.MALFORMED) and errors["http://h/c"].startswith(captures.MALFORMED)
+    assert errors[None].startswith(captures.MALFORMED + ": not json")
+    assert [r.url for r in captures.fetched(got).collect()] == ["http://h/a"]
+
+
 def test_a_url_captured_twice_counts_once(spark):
     js = spark.createDataFrame([("p", "a")], "page_url string, js_url string")
     stored = spark.createDataFrame([("a", 200, "old", 2), ("a", 200, "new", 5), ("a", 404, "gone", 9)], "url string, status int, body string, at int")

@@ -15,7 +15,12 @@ CAPTURE_SCHEMA = PAGE_SCHEMA + ", status int, headers map<string,string>, error
 
 
 def read_pages(spark: SparkSession, path: str, file_format: str = "parquet", schema: str | None = None) -> DataFrame:
-    """Captured pages, every status kept. JSON needs a schema, so that nothing is inferred."""
+    """Captured pages, every status kept. JSON needs a schema, so that nothing is inferred.
+
+    JSON lines under the capture schema go through ``read_captures``: a broken line becomes an error row.
+    """
+    if file_format == "json" and schema in (None, CAPTURE_SCHEMA):
+        return read_captures(spark, path)
     reader = spark.read.format(file_format)
     if schema is None and file_format != "parquet":
         schema = CAPTURE_SCHEMA
@@ -24,6 +29,33 @@ def read_pages(spark: SparkSession, path: str, file_format: str = "parquet", sch
     return reader.load(path)
 
 
+MALFORMED = "malformed capture"
+_RAW = "_raw_line"
+
+
+def read_captures(spark: SparkSession, path: str, schema: str = CAPTURE_SCHEMA) -> DataFrame:
+    """Captures from JSON lines where every line is a capture or an error row: nothing becomes nulls in silence.
+
+    A line that is not JSON, or whose fields don't fit ``schema``, is kept as a capture with ``error`` set to
+    ``malformed capture: `` and the start of the line, no html, and the URL written in the line where one can be read
+    (else null). So ``fetched`` leaves it out and ``page_errors_latest`` reports it. Blank lines are no records.
+    """
+    # Parsed from text with the whole schema: the JSON file reader parses only the columns a query keeps, so a
+    # field of the wrong type that a query drops would not mark its line. Options keep the optimizer from pruning.
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW}
+    raw = lines.select(F.from_json("value", f"{schema}, {_RAW} string", options).alias("row")).select("row.*")
+    broken = F.col(_RAW).isNotNull()
+    named = F.nullif(F.regexp_extract(_RAW, r'"url"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
+    columns = [c.split()[0] for c in schema.split(", ")]
+    fixed = {
+        "url": F.when(broken, F.coalesce(F.col("url"), named)).otherwise(F.col("url")),
+        "html": F.when(broken, F.lit(None)).otherwise(F.col("html")),
+        "error": F.when(broken, F.concat(F.lit(MALFORMED + ": "), F.substring(_RAW, 1, 200))).otherwise(F.col("error")),
+    }
+    return raw.select(*[fixed[c].alias(c) if c in fixed else F.col(c) for c in columns])
+
+
 SPREAD_BYTES = 256 * 1024 * 1024
 
 
