@@ -458,3 +458,32 @@ def test_plans(spark, sf):
     assert len(python) == 3 and "ArrowEvalPython" in python[1]  # between two generators: its rows are findings, without html
     scoped = plan_of(scope.in_scope(extract.page_links(pages), domains(spark, "example.com")))
     assert "BroadcastHashJoin" in scoped and "NestedLoop" not in scoped
+
+
+def test_merged_runs_equal_one_run_and_merge_once(spark, tmp_path):
+    schema = "section string, category string, value string"
+    rows = [("emails", "", f"a{i}@h.io") for i in range(40)] + [("params", "", "id")] * 3 + [("forms", "", "x")]
+    whole = spark.createDataFrame(rows, schema)
+    first, second = spark.createDataFrame(rows[:25], schema), spark.createDataFrame(rows[25:], schema)
+    table, folder = "merge_test", str(tmp_path / "store")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    try:
+        findings.merge_findings(first, table, folder, "r1", parts=8)
+        files = lambda: {
+            p.name: p.stat().st_mtime_ns for p in (tmp_path / "store" / "findings").rglob("*.parquet")
+        }
+        before = files()
+        merged = findings.merge_findings(second, table, folder, "r2", parts=8)
+        key = lambda df: sorted(tuple(r) for r in df.collect())
+        assert key(merged) == key(findings.distinct_findings(whole))
+        again = findings.merge_findings(second, table, folder, "r2", parts=8)
+        assert key(again) == key(merged)
+        # a run of one value rewrites one partition only
+        one = spark.createDataFrame([("emails", "", "a0@h.io")], schema)
+        after = files()
+        findings.merge_findings(one, table, folder, "r3", parts=8)
+        kept = {name for name, stamp in files().items() if after.get(name) == stamp}
+        assert len(kept) >= len(after) - 1 > 0 and set(before) & set(after)
+        assert findings.merge_findings(one.limit(0), table, folder, "r4", parts=8).count() == 41
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")

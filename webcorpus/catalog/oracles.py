@@ -210,6 +210,8 @@ _PARTS = {
         UNION ALL SELECT NULL, 2, source, body FROM asset_texts""",
     "secrets": _secrets("all_texts"),
     "endpoints": _endpoints("script_texts"),
+    "page_scripts": "SELECT page_id, page_url AS source, body FROM inline",
+    "page_endpoints": _endpoints("page_scripts"),
     "forms": _forms("page"),
     "fields": _fields("forms"),
     "form_facts": _FORM_FACTS,
@@ -464,5 +466,11 @@ ORACLES = {
         _GATED_DECO,
     ),
     "stream_visited": _oracle("SELECT DISTINCT url FROM page_links", _RAW),
+    "findings_merged_runs": _oracle(
+        """SELECT section, category, value, n FROM once WHERE section <> 'js_endpoint_findings'
+        UNION ALL SELECT 'js_endpoint_findings', category, value, count(*) FROM (
+            SELECT DISTINCT page_id, source, category, value FROM page_endpoints) GROUP BY category, value""",
+        _GATED_DECO,
+    ),
     "stream_visited_batches": _oracle("SELECT DISTINCT url FROM page_links WHERE url IS NOT NULL", _RAW),
 }

@@ -492,3 +492,15 @@ def stream_visited_batches(spark, sf_dir):
     folder = new_folder(spark, "stream-visited")
     table = "visited_" + folder.rsplit("-", 1)[-1]
     return ingest.visited_in_batches(links, table, folder).select("url")
+
+
+@query
+def findings_merged_runs(spark, sf_dir):
+    """Page findings of two capture runs merged into a stored set; every page belongs to one run, by the sign of its URL's hash."""
+    pages = captures.content_gate(_captures(spark, sf_dir))
+    first = F.coalesce(F.xxhash64("url") < 0, F.lit(False))
+    folder = new_folder(spark, "findings-store")
+    table = "findings_" + folder.rsplit("-", 1)[-1]
+    for run_name, half in (("first", pages.where(first)), ("second", pages.where(~first))):
+        merged = findings.merge_findings(findings.page_findings(half), table, folder, run_name)
+    return merged

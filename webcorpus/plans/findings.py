@@ -188,6 +188,52 @@ def distinct_findings(findings: DataFrame) -> DataFrame:
     return in_sets.groupBy("section", "category", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+_STORE_SCHEMA = "section string, category string, value string, n bigint, run string, part int"
+
+
+def merge_findings(findings: DataFrame, table: str, folder: str, run: str, parts: int = 64) -> DataFrame:
+    """Merge the set sections of one capture run into the stored set ``table``; returns ``section, category, value, n``
+    of all runs merged so far, equal to ``distinct_findings`` over the union of their findings.
+
+    The store is partitioned by ``part``, a hash of the value into ``parts``: a run reduces its findings to distinct
+    values with counts (partial aggregation before the shuffle), and only the partitions its values fall in are read,
+    summed with it and written again (dynamic overwrite); the others are not touched. The merged partitions are first
+    written whole under the shared checkpoint folder, so the overwrite reads a finished table, never the one it replaces.
+    Every rewritten partition holds a marker row of ``run`` (``section`` null): a run merged again, after a failure or
+    by mistake, adds nothing to partitions that have its marker, and so is counted once. ``folder`` holds the store,
+    on storage all executors share; ``table`` names it in the catalog. Findings of an empty run leave the store as it is.
+    """
+    spark = findings.sparkSession
+    if not spark.catalog.tableExists(table):
+        empty = spark.createDataFrame([], _STORE_SCHEMA)
+        empty.write.partitionBy("part").option("path", f"{folder}/findings").saveAsTable(table)
+    stored = spark.table(table)
+    part = F.pmod(F.xxhash64("section", "category", "value"), F.lit(parts)).cast("int")
+    counted = distinct_findings(findings).select("section", "category", "value", "n", F.lit(None).cast("string").alias("run"), part.alias("part"))
+    # At most ``parts`` rows each: the partitions this run was merged into before, and those it touches now.
+    done = stored.where(F.col("run") == run).select("part").distinct()
+    fresh = counted.join(F.broadcast(done), "part", "left_anti")
+    touched = fresh.select("part").distinct()
+    old = stored.join(F.broadcast(touched), "part", "left_semi")
+    summed = (
+        old.where(F.col("run").isNull()).unionByName(fresh)
+        .groupBy("section", "category", "value", "part").agg(F.sum("n").alias("n"))
+        .select("section", "category", "value", "n", F.lit(None).cast("string").alias("run"), "part")
+    )
+    markers = old.where(F.col("run").isNotNull()).unionByName(
+        touched.select(*[F.lit(None).cast("string").alias(c) for c in ("section", "category", "value")],
+                       F.lit(None).cast("bigint").alias("n"), F.lit(run).alias("run"), "part")
+    ).dropDuplicates(["run", "part"])
+    staged = written(summed.unionByName(markers), "findings-merge")
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        staged.select(*[c.split()[0] for c in _STORE_SCHEMA.split(", ")]).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    return spark.table(table).where(F.col("run").isNull()).select("section", "category", "value", "n")
+
+
 def endpoints_merged(findings: DataFrame) -> DataFrame:
     """``category, n_values``: size of each merged endpoint set."""
     merged = distinct_findings(findings.filter(F.col("section") == "js_endpoint_findings"))
