@@ -490,6 +490,17 @@ def test_classifier_learns_and_scores_every_row(spark):
     assert quality.scored(docs.limit(0), weights).count() == 0
 
 
+def test_classifier_learns_a_repeated_key_once(spark):
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef"]) * (1 + i % 2) for _ in range(30)) for i in range(40)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    # the key 5 held by 300 documents, its own text among them and all larger
+    copies = docs.where("doc_id = 5").withColumn("_n", F.explode(F.array_repeat(F.lit(1), 300))).drop("_n")
+    repeated = docs.unionByName(copies.withColumn("text", F.concat("text", F.lit(" zz"))))
+    assert np.array_equal(quality.fit(repeated, labels), quality.fit(docs, labels))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op10_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()

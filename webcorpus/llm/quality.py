@@ -106,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
         label: str = "quality") -> np.ndarray:
     """Weights fitted on at most ``sample`` labelled texts, chosen by a hash of their key.
 
-    Keys with null or conflicting labels are left out, as are labels without a document; without any labelled text all
+    Keys with null or conflicting labels are left out, as are labels without a document; a key that several documents hold
+    is one training row, its smallest text (so the bound is one of rows, not only of keys); without any labelled text all
     weights are zero. Updates follow one another, so one task makes them, on a sample whose size is bounded; its features, not
     its texts, are moved, and the weights (at most 2^18 numbers) come to the driver.
     """
@@ -115,7 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     ).where("label = most AND label IN (0, 1) AND doc_id IS NOT NULL")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("label").cast("int").alias("label"))
     texts = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # One row per key: a key held by many documents is learnt once, from its smallest text, so no key outweighs the bound.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "text", "label")
     made = rows.mapInArrow(_feature_rows, "doc_id bigint, label int, slots binary, share binary")
 
     def train(table: pa.Table) -> pa.Table:
