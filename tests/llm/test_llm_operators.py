@@ -397,6 +397,11 @@ def test_archives_round_trip(spark):
     assert [len(c.data) for c in chunks] == [warc.CHUNK] * 3 + [200_000 - 3 * warc.CHUNK]
     assert all(c.running_digest == hashlib.sha256(long.encode()[: warc.CHUNK * (c.chunk_no + 1)]).hexdigest() for c in chunks)
     assert warc.archive_round_trip(pages.limit(0), new_folder(spark, "warc")).count() == 0
+    folder = new_folder(spark, "warc")
+    files = warc.write_archives(warc.chunk_table(pages.repartition(5)), folder)
+    read = warc.read_archives(files, folder)
+    per_task = read.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("record_id").alias("n")).collect()
+    assert read.rdd.getNumPartitions() == files.count() == 5 and len(per_task) == sum(1 for f in files.collect() if f.records)
 
 
 # Decontamination
