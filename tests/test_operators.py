@@ -429,6 +429,27 @@ def test_crawls_past_the_broadcast_bound(spark, monkeypatch):
     assert got == brute_force_depths([tuple(r) for r in frame.collect()], "n0", 4)
 
 
+def test_bucketed_edges_move_only_the_frontier(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "measure", lambda df: joins.Size(df.count(), False))
+    pairs = [(f"n{i}", f"n{(i * k + 1) % 50}") for i in range(50) for k in (2, 3)] + [("n0", f"n{i}") for i in range(50)]
+    frame = spark.createDataFrame(pairs + pairs[:20] + [(None, "n1"), ("n2", None)], "src string, dst string")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.url: r.depth for r in crawl.crawl_depth(frame, urls_frame(spark, ["n3"]), max_depth=4, buckets=buckets).collect()}
+    assert got == {r.url: r.depth for r in crawl.crawl_depth(frame, urls_frame(spark, ["n3"]), max_depth=4).collect()}
+    assert got == brute_force_depths(pairs, "n3", 4)
+    edges = crawl.bucketed_edges(frame, buckets)
+    frontier = spark.createDataFrame([(f"n{i}",) for i in range(0, 50, 7)], "src string")
+    with_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = edges.join(frontier, "src")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan and f"SelectedBucketsCount: {buckets} out of {buckets}" in plan
+        assert sorted(tuple(r) for r in joined.collect()) == sorted(set((a, b) for a, b in pairs if int(a[1:]) % 7 == 0))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
+
+
 def test_run_reaches_only_what_the_crawl_visits(spark):
     pages = [(1, "http://h/#top", "<a href='/a'>a@b.cc"), (2, "http://h/a", "<a href='/c'>"), (3, "http://h/far", "x@y.zz"), (4, "http://h/c", "c@c.cc")]
     frame = spark.createDataFrame([(*p, 200, None) for p in pages], "page_id long, url string, html string, status int, headers map<string,string>")

@@ -324,6 +324,13 @@ def crawl_depth(spark, sf_dir):
     return crawl.crawl_depth(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6)
 
 
+@query
+def crawl_depth_bucketed(spark, sf_dir):
+    """``crawl_depth`` over edges bucketed by source: levels past the broadcast bound move the frontier only."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return crawl.crawl_depth(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, buckets=buckets)
+
+
 @query
 def crawl_capped(spark, sf_dir):
     return crawl.crawl_capped(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, max_pages=_cap(spark, sf_dir))

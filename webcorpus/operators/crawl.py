@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webcorpus.operators import extract, robots, scope
 from webcorpus.operators.joins import measure
 from webcorpus.plans.report import numbered
-from webcorpus.session import written
+from webcorpus.session import new_folder, written
 
 
 def crawl_edges(
@@ -35,17 +35,39 @@ def crawl_edges(
     return edges.join(judged.filter("allowed").select("src"), "src", "left_semi")
 
 
-def crawl_depth(edges: DataFrame, start: DataFrame, max_depth: int = 3, enough: int | None = None) -> DataFrame:
+def bucketed_edges(edges: DataFrame, buckets: int) -> DataFrame:
+    """Distinct ``src, dst`` saved once as a table of ``buckets`` buckets by ``src``, sorted, under the shared folder.
+
+    A join on ``src`` with it moves only its other side, at every level of a walk. Copies of an edge are dropped before the
+    shuffle (partial aggregation); the rows are then dealt by ``src`` so that each bucket is one file of one task.
+    A source with very many edges makes one large bucket: it is read as a sorted run by one task, not split.
+    """
+    spark = edges.sparkSession
+    folder = new_folder(spark, "edges")
+    name = "edges_" + folder.rsplit("-", 1)[-1]
+    pairs = edges.select("src", "dst").distinct().repartition(buckets, "src")
+    pairs.write.bucketBy(buckets, "src").sortBy("src").option("path", folder).saveAsTable(name)
+    return spark.table(name)
+
+
+def crawl_depth(
+    edges: DataFrame, start: DataFrame, max_depth: int = 3, enough: int | None = None, buckets: int | None = None
+) -> DataFrame:
     """``url, depth`` of every URL within ``max_depth`` steps, depth being the shortest distance.
 
-    With ``enough`` the walk ends after the level that brings the total to that many URLs.
+    With ``enough`` the walk ends after the level that brings the total to that many URLs. With ``buckets`` the edges are
+    written once bucketed by ``src`` (``bucketed_edges``; at least ``spark.sql.shuffle.partitions`` buckets, so that the
+    planner keeps them): a level past the broadcast bound then shuffles its frontier only, never the edges.
 
     The distinct edges are written once, so that no level extracts links again. While the frontier is small
     it is broadcast and the edges are only scanned; past the bound both sides shuffle and AQE splits a source
     that holds very many edges. ``distinct`` before the anti join shrinks hub targets on the map side. Each
     level is written: the plan stays flat and a lost executor never replays the levels before it.
     """
-    edges = written(edges.select("src", "dst").distinct(), "edges")
+    if buckets is None:
+        edges = written(edges.select("src", "dst").distinct(), "edges")
+    else:
+        edges = bucketed_edges(edges, buckets)
     total = 0
     visited = frontier = written(start.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
     for depth in range(1, max_depth + 1):
