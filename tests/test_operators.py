@@ -450,6 +450,29 @@ def test_bucketed_edges_move_only_the_frontier(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
 
 
+def test_frontier_follows_batches_of_edges(spark, tmp_path):
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 40)}") for _ in range(90)] + [("n1", "n39"), ("n39", "n40")]
+    batches = [pairs[60:], [], pairs[:30] + [(None, "n2"), ("n3", None)], pairs[30:60] + pairs[:5]]
+    start = urls_frame(spark, ["n1", "n7"])
+    folder, seen = str(tmp_path / "frontier"), []
+    depths = lambda df: {r.url: r.depth for r in df.collect()}
+    for batch_id, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "src string, dst string")
+        crawl.frontier_merge(frame, start, folder, batch_id, max_depth=5)
+        if batch_id == 2:  # run again after a failure: nothing counts twice
+            crawl.frontier_merge(frame, start, folder, batch_id, max_depth=5)
+        seen += [r for r in rows if None not in r]
+        whole = crawl.crawl_depth(spark.createDataFrame(seen or [("n1", "n1")], "src string, dst string"), start, max_depth=5)
+        assert depths(crawl.frontier_depths(spark, folder)) == depths(whole)
+    arriving = tmp_path / "arriving"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([r for r in rows if None not in r], "src string, dst string").coalesce(1).write.parquet(str(arriving / f"b{i}"))
+    stream = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(str(arriving / "b*"))
+    got = ingest.crawl_frontier(stream, start, str(tmp_path / "streamed"), max_depth=5)
+    assert depths(got) == depths(whole)
+
+
 def test_run_reaches_only_what_the_crawl_visits(spark):
     pages = [(1, "http://h/#top", "<a href='/a'>a@b.cc"), (2, "http://h/a", "<a href='/c'>"), (3, "http://h/far", "x@y.zz"), (4, "http://h/c", "c@c.cc")]
     frame = spark.createDataFrame([(*p, 200, None) for p in pages], "page_id long, url string, html string, status int, headers map<string,string>")

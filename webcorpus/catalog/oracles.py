@@ -415,6 +415,7 @@ ORACLES = {
     "robots_allowed": _oracle(f"SELECT p.page_id, p.url, {_ROBOTS}"),
     "crawl_depth": _crawl_oracle(_CRAWL),
     "crawl_depth_bucketed": _crawl_oracle(_CRAWL),
+    "crawl_frontier_batches": _crawl_oracle(_CRAWL),
     "crawl_capped": _crawl_oracle(f"SELECT url, depth FROM ({_CRAWL}) ORDER BY depth, url LIMIT (SELECT greatest(count(*) // 10, 1) FROM nodes)"),
     "param_flags": _oracle(
         f"SELECT DISTINCT name, {_IDOR} AS is_idor, {_ADMIN} AS is_admin FROM names", _DECO

@@ -331,6 +331,15 @@ def crawl_depth_bucketed(spark, sf_dir):
     return crawl.crawl_depth(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, buckets=buckets)
 
 
+@query
+def crawl_frontier_batches(spark, sf_dir):
+    """``crawl_depth`` kept up to date as the edges arrive as a stream, in four micro-batches dealt by source."""
+    folder = new_folder(spark, "crawl-frontier")
+    table(spark, sf_dir, "edges").repartition(4, "src").write.parquet(f"{folder}/arriving")
+    arriving = spark.readStream.schema("src string, dst string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    return ingest.crawl_frontier(arriving, _start(spark, sf_dir), folder, max_depth=6)
+
+
 @query
 def crawl_capped(spark, sf_dir):
     return crawl.crawl_capped(table(spark, sf_dir, "edges"), _start(spark, sf_dir), max_depth=6, max_pages=_cap(spark, sf_dir))

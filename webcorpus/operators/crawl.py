@@ -107,3 +107,75 @@ def crawl_capped(edges: DataFrame, start: DataFrame, max_depth: int = 3, max_pag
         kept = visited.where(F.col("depth") < cut).unionByName(part)
     # In (depth, url) order: a range sort over the kept rows, not a top-k in one task.
     return kept.orderBy("depth", "url")
+
+
+EDGE_LOG = "src string, dst string, batch bigint"
+DEPTH_LOG = "url string, depth int, batch bigint"
+
+
+def frontier_merge(new_edges: DataFrame, start: DataFrame, folder: str, batch: int, max_depth: int = 3) -> None:
+    """Bring the depths stored in ``folder`` up to date with one batch of edges ``src, dst``; see ``frontier_depths``.
+
+    ``folder/edges`` keeps every edge and ``folder/depths`` a row each time a URL's depth falls, both partitioned by batch. The
+    batch's edges are added first. Depths then fall where they give a shorter path from ``start``: by the new edges out of URLs
+    already reached (and the starts, at 0, the first time), then level by level out of every URL that fell, over all edges, until
+    none falls. A candidate of a level is one deeper than its source, so at most ``max_depth + 1`` levels run; each is written,
+    and a small level is broadcast against the edges. Edges with a null end are left out. A batch that runs again after a failure
+    reads neither of its own partitions and replaces both: nothing counts twice.
+    """
+    spark = new_edges.sparkSession
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    edge_path, depth_path = f"{folder}/edges", f"{folder}/depths"
+    if not _exists(spark, depth_path):
+        spark.createDataFrame([], DEPTH_LOG).write.mode("append").partitionBy("batch").parquet(depth_path)
+    pairs = new_edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    tagged = pairs.withColumn("batch", F.lit(batch).cast("bigint"))
+    tagged.write.mode("overwrite").options(**dynamic).partitionBy("batch").parquet(edge_path)
+    edges = spark.read.schema(EDGE_LOG).parquet(edge_path).select("src", "dst")
+    mine = spark.read.schema(EDGE_LOG).parquet(edge_path).where(F.col("batch") == batch).select("src", "dst")
+    log = spark.read.schema(DEPTH_LOG).parquet(depth_path).where(F.col("batch") != batch)
+    known = written(log.groupBy("url").agg(F.min("depth").alias("depth")), "frontier-known")
+    seeds = start.where(F.col("url").isNotNull()).select("url", F.lit(0).alias("depth"))
+    candidates = seeds.unionByName(_deeper(mine, known, max_depth))
+    lowered = None
+    for _ in range(max_depth + 2):
+        fallen = written(_falls(candidates, known, lowered), "frontier-fallen")
+        if fallen.isEmpty():
+            break
+        lowered = fallen if lowered is None else lowered.unionByName(fallen)
+        candidates = _deeper(edges, fallen, max_depth)
+    if lowered is not None:
+        least = lowered.groupBy("url").agg(F.min("depth").alias("depth")).withColumn("batch", F.lit(batch).cast("bigint"))
+        least.write.mode("overwrite").options(**dynamic).partitionBy("batch").parquet(depth_path)
+
+
+def frontier_depths(spark, folder: str) -> DataFrame:
+    """``url, depth`` as stored in ``folder`` by ``frontier_merge``: after each batch equal to ``crawl_depth`` over all edges and
+    the same starts. Before the first batch, empty."""
+    if not _exists(spark, f"{folder}/depths"):
+        return spark.createDataFrame([], "url string, depth int")
+    log = spark.read.schema(DEPTH_LOG).parquet(f"{folder}/depths")
+    return log.groupBy("url").agg(F.min("depth").alias("depth"))
+
+
+def _deeper(edges: DataFrame, reached: DataFrame, max_depth: int) -> DataFrame:
+    """``url, depth``: the ends of edges out of ``reached(url, depth)``, one deeper, within ``max_depth``."""
+    sources = reached.where(F.col("depth") < max_depth).select(F.col("url").alias("src"), "depth")
+    sources = F.broadcast(sources) if measure(sources).small else sources
+    return edges.join(sources, "src").select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"))
+
+
+def _falls(candidates: DataFrame, known: DataFrame, lowered: DataFrame | None) -> DataFrame:
+    """``url, depth`` of candidates below the best depth stored or lowered so far: the least candidate per URL."""
+    best = candidates.groupBy("url").agg(F.min("depth").alias("depth"))
+    bounds = [known] if lowered is None else [known, lowered.groupBy("url").agg(F.min("depth").alias("depth"))]
+    for i, bound in enumerate(bounds):
+        best = best.join(bound.select("url", F.col("depth").alias(f"_b{i}")), "url", "left")
+    below = [(F.col(f"_b{i}").isNull() | (F.col("depth") < F.col(f"_b{i}"))) for i in range(len(bounds))]
+    keep = below[0] if len(below) == 1 else below[0] & below[1]
+    return best.where(keep).select("url", "depth")
+
+
+def _exists(spark, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

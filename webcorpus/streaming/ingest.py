@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.operators import extract
+from webcorpus.operators import crawl, extract
 from webcorpus.plans.findings import page_findings
 
 
@@ -100,3 +100,19 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def crawl_frontier(edges: DataFrame, start: DataFrame, folder: str, max_depth: int = 3) -> DataFrame:
+    """Crawl depths kept up to date as a stream of edges ``src, dst`` arrives: after each micro-batch the stored ``url, depth``
+    equal ``crawl_depth`` over all edges so far, a depth lowered where a shorter path appears (``crawl.frontier_merge``).
+
+    Logs and progress lie in ``folder``, on storage all executors share: run again with the same folder, the stream goes on where
+    it stopped, and a replayed micro-batch replaces what it wrote. Returns the depths as they stand.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        crawl.frontier_merge(batch, start, folder, batch_id, max_depth)
+
+    query = edges.select("src", "dst").writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return crawl.frontier_depths(edges.sparkSession, folder)
