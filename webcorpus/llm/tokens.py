@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from itertools import chain
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -18,7 +19,7 @@ KEPT_WORDS = 40_000  # a task's end leaves at most so many for the next; later t
 ENCODE_WHOLE = re.compile("[\x1c-\x1f]")
 KEEP_CASE = re.compile("[^\x00-\xff]")
 STEM = re.compile("[a-zß-öø-ÿ]+")
-STEM_AND_MARKS = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%#$&*]+)")
+STEM_AND_MARKS = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%#$&*]*)")  # a stem, and marks behind it if any
 END_OF_WORD = "</w>"
 
 
@@ -54,30 +55,39 @@ class WordTokenizer:
         data = ids.tobytes()
         return [data[2 * a : 2 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _learn(self, words: list[str]) -> None:
-        for pattern, encode in ((STEM, self._stems), (None, self.encode)):
-            chosen = [word for word in words if (pattern is None) != bool(STEM.fullmatch(word))]
+    def _learn(self, stems: list[str], odd: list[str]) -> None:
+        for chosen, encode in ((stems, self._stems), (odd, self.encode)):
             if chosen:
                 self.known.update(zip(chosen, encode(chosen), strict=True))
 
     def _all(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of each of these words. Only stems and odd words are kept; marks behind a stem are put on anew."""
+        """The cache, holding ids of each of these words. Stems and odd words are learnt; a stem with marks behind it is
+        put together from the two and kept as well, until the cache turns over."""
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        found = dict(zip(words, map(known.get, words), strict=True))
-        missing = [word for word, ids in found.items() if ids is None]
-        parts = {word: m.groups() for word in missing if (m := STEM_AND_MARKS.fullmatch(word))}
-        wanted = {part for pair in parts.values() for part in pair}.union(w for w in missing if w not in parts)
-        wanted.difference_update(known)
-        again = [word for word in wanted if word in old]
-        known.update(zip(again, map(old.__getitem__, again), strict=True))
-        if new := list(wanted.difference(again)):
-            self._learn(new)
+        missing = words.difference(known)
+        if not missing:
+            return known
+        stems, odd, parts = set(), set(), {}
         for word in missing:
-            pair = parts.get(word)
-            found[word] = known[pair[0]] + known[pair[1]] if pair else known[word]
-        return found
+            if (m := STEM_AND_MARKS.fullmatch(word)) is None:
+                odd.add(word)
+            elif m.end(1) == len(word):
+                stems.add(word)
+            else:
+                parts[word] = pair = m.groups()
+                stems.add(pair[0])
+                odd.add(pair[1])
+        stems.difference_update(known)
+        odd.difference_update(known)
+        for wanted in (stems, odd):
+            again = wanted.intersection(old)
+            known.update((word, old[word]) for word in again)
+            wanted.difference_update(again)
+        self._learn(list(stems), list(odd))
+        known.update((word, known[a] + known[b]) for word, (a, b) in parts.items())
+        return known
 
     def ids(self, texts: Iterable[str], slice_chars: int = 1_000_000) -> Iterator[np.ndarray]:
         """Words are learned for a slice of texts at a time; a slice may fill the cache past its size."""
@@ -96,7 +106,7 @@ class WordTokenizer:
 
     def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [None if ENCODE_WHOLE.search(t) else (t if KEEP_CASE.search(t) else t.lower()).split() for t in texts]
-        get = self._all(set().union(*(words for words in split if words))).__getitem__
+        get = self._all(set(chain.from_iterable(words for words in split if words))).__getitem__
         for text, words in zip(texts, split, strict=True):
             data = self.encode([text])[0] if words is None else b"".join(map(get, words))
             yield np.frombuffer(data, np.uint16)
