@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcorpus.llm.words import BASE, IS_PLAIN, hashed_texts, mix, ngram_hashes, texts_of, word_hashes
+from webcorpus.llm.words import BASE, IS_PLAIN, hashed_texts, mix, ngram_hashes, released, texts_of, word_hashes
 
 SAMPLES = 2  # steps compared in a repetition
 AGREE = 0.45  # share of steps at which walks of the largest allowed distance agree, measured; sets the repetitions
@@ -184,7 +184,7 @@ def leaks(
     results = []
     for rows in blocks((r.item_id, r.text.encode()) for r in items.toLocalIterator()):
         sent = spark.sparkContext.broadcast(rows)
-        results.append(texts.mapInArrow(_search(sent, edit_percent, recall, min_words), FIELDS))
+        results.append(texts.mapInArrow(released(_search(sent, edit_percent, recall, min_words)), FIELDS))
     return reduce(DataFrame.unionAll, results)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.llm.components import components
-from webcorpus.llm.words import hashed_texts, mix, ngram_hashes, texts_of
+from webcorpus.llm.words import hashed_texts, mix, ngram_hashes, released, texts_of
 from webcorpus.operators.joins import broadcast_if_small
 from webcorpus.session import Scratch, written
 
@@ -293,21 +293,21 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
     """
     spark = docs.sparkSession
     texts = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    rows = written(texts.mapInArrow(*_sets(n)), "ngram-sets")
+    rows = written(texts.mapInArrow(*_released(_sets(n))), "ngram-sets")
     sets = rows.where("ngram IS NULL").select("doc_id", "n_shingles", "set_id")
     with Scratch(spark, "ngram-join") as scratch:
         often = rows.where("ngram IS NOT NULL").groupBy("ngram").agg(F.sum("n_shingles").alias("n"))
         last = often.orderBy(F.desc("n"), "ngram").limit(FREQUENT_MOST).select("ngram").toArrow()["ngram"]
         last = np.sort(last.to_numpy().astype(np.int64).view(np.uint64))
-        prefixes = texts.mapInArrow(*_prefixes(n, percent, last))
+        prefixes = texts.mapInArrow(*_released(_prefixes(n, percent, last)))
         dealt = prefixes.repartition("ngram").sortWithinPartitions("ngram", "n", "set_id")
-        shared = scratch.write(dealt.mapInArrow(*_shared(percent)))
+        shared = scratch.write(dealt.mapInArrow(*_released(_shared(percent))))
         # A partner may be smaller by the band, and then asks for less.
         enough = F.count(F.lit(1)) >= least_shared(F.ceil(F.max("n") * percent / 100))
         able = shared.groupBy("set_id").agg(enough.alias("able")).where("able").select("set_id")
         dealt = shared.drop("meet").join(broadcast_if_small(able), "set_id", "left_semi").select("ngram", "n", "set_id", "first")
         dealt = dealt.repartition("ngram").sortWithinPartitions("ngram", "n", "set_id")
-        shared = scratch.write(dealt.mapInArrow(*_shared(percent)))
+        shared = scratch.write(dealt.mapInArrow(*_released(_shared(percent))))
 
         # Each set meets the smallest set of most of its shared prefix members; sets that meet, directly or not, are a tile.
         met = scratch.write(shared.groupBy("set_id").agg(F.max("n").alias("n"), F.mode("meet", True).alias("meet")))
@@ -338,7 +338,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
         slot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("bigint"))), F.lit(SURVIVOR_BITS))
         slots = chosen.select(slot.alias("slot")).distinct()
         again = texts.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-        found = again.mapInArrow(*_members(n)).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+        found = again.mapInArrow(*_released(_members(n))).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
         members = scratch.write(found.join(broadcast_if_small(chosen), ["set_id", "doc_id"], "left_semi").drop("doc_id"))
 
         held = members.select("set_id", "members").join(broadcast_if_small(tiles), "set_id")
@@ -369,9 +369,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
         pairs = scratch.write(pairs.where(F.col("shared") >= least_shared(F.col("low"))).select("a", "b"))
         maps = members.select("set_id", (F.octet_length("members") / 8).cast("int").alias("n"), "bitmap")
         a, b = (maps.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"map_{k}")) for k in "ab")
-        bounded = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(*_bounded(percent))
+        bounded = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(*_released(_bounded(percent)))
         a, b = (members.select(F.col("set_id").alias(k), F.col("members").alias(f"set_{k}")) for k in "ab")
-        more = bounded.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(*_linked(percent))
+        more = bounded.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(*_released(_linked(percent)))
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
         classes = written(components(links, scratch), "ngram-classes")
     smallest = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("low"))
@@ -383,3 +383,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "doc_i
     return sets.join(ids, "set_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def _released(made: tuple) -> tuple:
+    """A task function and its schema, the function freeing what its task leaves behind (``words.released``)."""
+    run, schema = made
+    return released(run), schema

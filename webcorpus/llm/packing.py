@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from webcorpus.llm.tokens import tokenizer
+from webcorpus.llm.words import released
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -173,7 +174,7 @@ def pack(
         if rows:
             yield batch_of(rows)
 
-    return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, PIECES)
+    return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text")).mapInArrow(released(run), PIECES)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcorpus.llm.words import GROUP, IS_WORD, hashed_texts, mix, ngram_hashes, texts_of, word_hashes
+from webcorpus.llm.words import GROUP, IS_WORD, hashed_texts, mix, ngram_hashes, released, texts_of, word_hashes
 
 BITS = 18  # of the table of weights: 2^18 doubles are sent to each task
 SAMPLE = 4_000  # labelled texts that the classifier is fitted on at most
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     # One row per key: a key held by many documents is learnt once, from its smallest text, so no key outweighs the bound.
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = rows.select("doc_id", "text", "label")
-    made = rows.mapInArrow(_feature_rows, "doc_id bigint, label int, slots binary, share binary")
+    made = rows.mapInArrow(released(_feature_rows), "doc_id bigint, label int, slots binary, share binary")
 
     def train(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
