@@ -209,6 +209,23 @@ def test_repeated_windows_by_brute_force(spark, seed, chunk):
     assert sum(r[2] for r in want) > 0 and any(0 < r[2] < r[1] for r in want)
 
 
+def test_near_copies_move_rows_by_edits_not_by_windows(spark, monkeypatch):
+    rng = random.Random(9)
+    text = [rng.choice("abcdefghij ") for _ in range(9000)]
+    texts = ["".join("#" if k and i % 900 == 100 * k else c for i, c in enumerate(text)) for k in range(4)]
+    moved, write = [], repeated_windows.written
+
+    def counted(df, name):
+        table = write(df, name)
+        moved.append(table.count())
+        return table
+
+    monkeypatch.setattr(repeated_windows, "written", counted)
+    got = sorted(tuple(r) for r in repeated_windows.repeated_windows(documents(spark, texts)).collect())
+    assert got == [(k, *r) for k, r in enumerate(repeated_windows.brute_force(texts))]
+    assert sum(moved) < sum(map(len, texts)) // 2, moved
+
+
 def test_repeated_windows_of_nothing(spark):
     assert repeated_windows.repeated_windows(documents(spark, [])).count() == 0
     rows = repeated_windows.repeated_windows(documents(spark, [None, "", "short"])).collect()
