@@ -19,7 +19,9 @@ KEPT_WORDS = 40_000  # a task's end leaves at most so many for the next; later t
 ENCODE_WHOLE = re.compile("[\x1c-\x1f]")
 KEEP_CASE = re.compile("[^\x00-\xff]")
 STEM = re.compile("[a-zß-öø-ÿ]+")
-STEM_AND_MARKS = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%#$&*]*)")  # a stem, and marks behind it if any
+# Marks between a letter and white space are tokens of their own: no token goes from a letter to a mark or over white space.
+# Set apart, they leave few different words to learn. A pattern that begins with the mark is searched for fast.
+MARKS = re.compile(r"[.,!?;:%#$&*](?<=[a-zß-öø-ÿ].)[.,!?;:%#$&*]*(?!\S)")
 END_OF_WORD = "</w>"
 
 
@@ -31,10 +33,18 @@ class WordTokenizer:
 
     def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
+        # Stems need no normalizer, and white space splits them as the long pattern would. Each is encoded once, so the
+        # tokenizer's own cache would only fill.
+        self.stem_tokenizer = Tokenizer.from_file(path)
+        self.stem_tokenizer.normalizer = None
+        self.stem_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.stem_tokenizer.model._resize_cache(0)
         vocabulary = self.tokenizer.get_vocab()
         assert max(vocabulary.values()) < 1 << 16
         self.ends = np.zeros(1 << 16, bool)
@@ -48,7 +58,8 @@ class WordTokenizer:
 
     def _stems(self, stems: list[str]) -> list[bytes]:
         """Letters only: one unit each to the tokenizer, so its last id ends a word and no other does."""
-        ids = np.frombuffer(self.encode([" ".join(stems)])[0], np.uint16)
+        encoded = self.stem_tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, np.uint16)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(stems):
             return self.encode(stems)
@@ -61,32 +72,17 @@ class WordTokenizer:
                 self.known.update(zip(chosen, encode(chosen), strict=True))
 
     def _all(self, words: set[str]) -> dict[str, bytes]:
-        """The cache, holding ids of each of these words. Stems and odd words are learnt; a stem with marks behind it is
-        put together from the two and kept as well, until the cache turns over."""
+        """The cache, holding ids of each of these words; new ones are learnt, stems together and odd words one by one."""
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
         missing = words.difference(known)
-        if not missing:
-            return known
-        stems, odd, parts = set(), set(), {}
-        for word in missing:
-            if (m := STEM_AND_MARKS.fullmatch(word)) is None:
-                odd.add(word)
-            elif m.end(1) == len(word):
-                stems.add(word)
-            else:
-                parts[word] = pair = m.groups()
-                stems.add(pair[0])
-                odd.add(pair[1])
-        stems.difference_update(known)
-        odd.difference_update(known)
-        for wanted in (stems, odd):
-            again = wanted.intersection(old)
+        if old:
+            again = missing.intersection(old)
             known.update((word, old[word]) for word in again)
-            wanted.difference_update(again)
-        self._learn(list(stems), list(odd))
-        known.update((word, known[a] + known[b]) for word, (a, b) in parts.items())
+            missing -= again
+        stems = list(filter(STEM.fullmatch, missing))
+        self._learn(stems, list(missing.difference(stems)))
         return known
 
     def ids(self, texts: Iterable[str], slice_chars: int = 1_000_000) -> Iterator[np.ndarray]:
@@ -105,7 +101,7 @@ class WordTokenizer:
             self.known = {}
 
     def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [None if ENCODE_WHOLE.search(t) else (t if KEEP_CASE.search(t) else t.lower()).split() for t in texts]
+        split = [None if ENCODE_WHOLE.search(t) else MARKS.sub(r" \g<0>", t if KEEP_CASE.search(t) else t.lower()).split() for t in texts]
         get = self._all(set(chain.from_iterable(words for words in split if words))).__getitem__
         for text, words in zip(texts, split, strict=True):
             data = self.encode([text])[0] if words is None else b"".join(map(get, words))
