@@ -202,10 +202,11 @@ def settle(runs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     A core that occurs once leaves at once. Of runs equal in all bytes one goes on as witness, the others end here; a core goes on
     if different runs share it and one of them is alone of its kind.
     """
-    often = runs.groupBy("core").agg(F.sum("w").alias("_n")).where("_n > 1").select("core")
+    # Counts are written before they are joined: the join then has a shuffle on both sides, and a hot core's rows are split.
+    often = written(runs.groupBy("core").agg(F.sum("w").alias("_n")).where("_n > 1").select("core"), "window-cores")
     shared = written(runs.join(often, "core", "left_semi"), "window-shared")
     row = F.xxhash64("tid", "a")
-    kinds = shared.groupBy("core", "bytes").agg(F.sum("w").alias("all"), F.min(row).alias("one"))
+    kinds = written(shared.groupBy("core", "bytes").agg(F.sum("w").alias("all"), F.min(row).alias("one")), "window-kinds")
     judged = shared.join(kinds, ["core", "bytes"]).select("tid", "a", "lo", "hi", "w", "core", "all", (row == F.col("one")).alias("one"))
     # Rows neither found to repeat here nor going on are witnesses found before.
     judged = written(judged.where("one or w < all"), "window-judged")
@@ -214,7 +215,7 @@ def settle(runs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
         return repeated, None
     witnesses = judged.where("one").select("tid", "a", "lo", "hi", F.col("all").alias("w"), "core")
     mixed_ = witnesses.groupBy("core").agg(F.count("*").alias("_n"), F.min("w").alias("_least")).where("_n > 1 and _least = 1")
-    return repeated, witnesses.join(mixed_.select("core"), "core", "left_semi").drop("core")
+    return repeated, witnesses.join(written(mixed_.select("core"), "window-mixed"), "core", "left_semi").drop("core")
 
 
 def bucketed_texts(docs: DataFrame) -> DataFrame:
