@@ -82,6 +82,13 @@ def test_packing_places_every_id_once(spark, tokenizer):
     assert len(pieces) == len(texts)
 
 
+def test_words_with_marks_are_learnt_as_stems(tokenizer):
+    words = WordTokenizer(TOKENIZER)
+    texts = ["".join(f"{w}{m} " for w in ("house", "straße", "été") for m in (".", ",", "?!", "")), "it's. x-y. (a). b'. c.d. 7."]
+    assert [ids.tolist() for ids in words.ids(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"house", "straße", "été", ".", "?!"} <= set(words.known) and not {"house.", "straße,", "été?!"} & set(words.known)
+
+
 def test_packer_minimises_the_sum_of_squares_and_keeps_few_windows():
     packer = packing.LevelPacker(16, 1000)
     for n in (10, 10, 5):

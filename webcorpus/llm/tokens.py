@@ -15,9 +15,6 @@ import numpy as np
 # Two generations: words met again move to the young one, and when that is full the old one goes.
 CACHE_WORDS = 120_000
 KEPT_WORDS = 40_000  # a task's end leaves at most so many for the next; later tasks learn about as fast as they look up
-# str.split() breaks at these four, the tokenizer doesn't; beyond Latin-1 two lower-casings might differ.
-ENCODE_WHOLE = re.compile("[\x1c-\x1f]")
-KEEP_CASE = re.compile("[^\x00-\xff]")
 STEM = re.compile("[a-zß-öø-ÿ]+")
 # Marks between a letter and white space are tokens of their own: no token goes from a letter to a mark or over white space.
 # Set apart, they leave few different words to learn. A pattern that begins with the mark is searched for fast.
@@ -37,14 +34,15 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        # Stems need no normalizer, and white space splits them as the long pattern would. Each is encoded once, so the
-        # tokenizer's own cache would only fill.
-        self.stem_tokenizer = Tokenizer.from_file(path)
-        self.stem_tokenizer.normalizer = None
-        self.stem_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        # Stems need no normalizer, white space splits them as the long pattern would, and ASCII letters stand for their bytes.
+        # Words are encoded once each, so the model's own cache would only fill.
+        model = self.tokenizer.model
+        model._resize_cache(0)
+        self.ascii_stems, self.other_stems = Tokenizer(model), Tokenizer(model)
+        self.ascii_stems.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.other_stems.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.stem_tokenizer.model._resize_cache(0)
         vocabulary = self.tokenizer.get_vocab()
         assert max(vocabulary.values()) < 1 << 16
         self.ends = np.zeros(1 << 16, bool)
@@ -58,7 +56,9 @@ class WordTokenizer:
 
     def _stems(self, stems: list[str]) -> list[bytes]:
         """Letters only: one unit each to the tokenizer, so its last id ends a word and no other does."""
-        encoded = self.stem_tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0]
+        joined = " ".join(stems)
+        of = self.ascii_stems if joined.isascii() else self.other_stems
+        encoded = of.encode_batch_fast([joined], add_special_tokens=False)[0]
         ids = np.array(encoded.ids, np.uint16)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(stems):
@@ -67,7 +67,9 @@ class WordTokenizer:
         return [data[2 * a : 2 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _learn(self, stems: list[str], odd: list[str]) -> None:
-        for chosen, encode in ((stems, self._stems), (odd, self.encode)):
+        plain = list(filter(str.isascii, stems))
+        other = [stem for stem in stems if not stem.isascii()]
+        for chosen, encode in ((plain, self._stems), (other, self._stems), (odd, self.encode)):
             if chosen:
                 self.known.update(zip(chosen, encode(chosen), strict=True))
 
@@ -101,13 +103,26 @@ class WordTokenizer:
             self.known = {}
 
     def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [None if ENCODE_WHOLE.search(t) else MARKS.sub(r" \g<0>", t if KEEP_CASE.search(t) else t.lower()).split() for t in texts]
+        split = [words_of(text) for text in texts]
         get = self._all(set(chain.from_iterable(words for words in split if words))).__getitem__
         for text, words in zip(texts, split, strict=True):
             data = self.encode([text])[0] if words is None else b"".join(map(get, words))
             yield np.frombuffer(data, np.uint16)
 
 
+def words_of(text: str) -> list[str] | None:
+    """Words and marks to look up; None where ``str.split`` breaks at a character that the tokenizer doesn't break at."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return None
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:  # beyond Latin-1 two lower-casings might differ
+        pass
+    else:
+        text = text.lower()
+    return MARKS.sub(r" \g<0>", text).split()
+
+
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str, plain: bool = False) -> WordTokenizer:
     """One tokenizer and cache per worker process."""
