@@ -1,12 +1,14 @@
 """Spelling variants, repeated-window removal and the conversation trie against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from webcorpus.llm import conversation_trie, repeated_windows, spelling
 from webcorpus.llm.queries import QUERIES
@@ -90,6 +92,17 @@ def test_spelling_variants_by_brute_force(spark, seed):
     assert any(r[1] is not None for r in got) and any(r[4] > 0 for r in got)
 
 
+def test_few_spelling_candidates_where_all_bigrams_are_common(spark, monkeypatch):
+    # Every pair that is compared passes: what is left of it is the number of candidates, both ways.
+    words = ["".join(w) for w in itertools.product("abc", "eio", "abc", "eio", "abc", "eio", "abc")]
+    monkeypatch.setattr(spelling.F, "levenshtein", lambda *_: F.lit(1))
+    table = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
+    pairs = {tuple(r) for r in spelling.near_pairs(table).collect()}
+    near = {(a, b) for a in words for b in words if sum(x != y for x, y in zip(a, b, strict=True)) == 1}
+    assert near <= pairs
+    assert len(pairs) < 6 * len(near)
+
+
 def test_spelling_of_nothing(spark):
     assert spelling.spelling_variants(documents(spark, [None, "", "a b"])).count() == 0
     assert spelling.spelling_variants(documents(spark, [])).count() == 0
