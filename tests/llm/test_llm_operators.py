@@ -127,6 +127,22 @@ def test_secret_scan(spark):
     assert secret_scan.secret_scan(docs.limit(0)).count() == 0 and secret_scan.masked(docs.limit(0)).count() == 0
 
 
+def test_secrets_are_searched_by_one_python_worker_a_task(spark, monkeypatch):
+    rows = [(1, "secret=abcdefgh1", "en", "a", 16), (2, None, None, None, None), (2, "no", "en", "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plans, write = [], secret_scan.written
+
+    def kept(df, name):
+        plans.append(plan(df))
+        return write(df, name)
+
+    monkeypatch.setattr(secret_scan, "written", kept)
+    result = plan(secret_scan.masked(docs))
+    assert [p.count("ArrowEvalPython") for p in plans] == [1]
+    assert result.count("ArrowEvalPython") == 2  # texts with and without candidates, in tasks of their own
+
+
 def test_base_spans_by_brute_force(spark, sf):
     pattern = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -110,8 +110,12 @@ def _found(texts: pa.Array) -> pa.Array:
 
 
 def found_in(text: str) -> Column:
-    """Candidates of a column of texts."""
-    return F.arrow_udf(_found, FOUND)(text)
+    """Candidates of a column of texts.
+
+    Marked as not deterministic, which keeps a filter on the candidates above their column. Pushed below, it would search each
+    text a second time, in a second Python worker beside the first, and executors keep the workers they once started.
+    """
+    return F.arrow_udf(_found, FOUND).asNondeterministic()(text)
 
 
 def ownership(found: DataFrame) -> DataFrame:
